@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is made of sample texts. A text is cut into
-chunks, every chunk is compressed with each dictionary, and the language with the smallest total
+For each language a raw-content zstandard dictionary is made of sample texts. Texts are reduced
+to lower-case letters, each run of anything else to one blank. A text is cut into chunks, every chunk is compressed with each dictionary, and the language with the smallest total
 wins; a winner ahead by less than ``min_margin`` (as a part of the runner-up's size) is rejected.
 
 The sample is bounded: at most ``dict_bytes`` of whole texts a language, taken by text hash from
@@ -25,16 +25,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DICT_BYTES = 96 << 10
+DICT_BYTES = 64 << 10
 #: Rows read for one language's dictionary at most.
 SAMPLE_ROWS = 400
 CHUNK_BYTES = 4096
-LEVEL = 3
+LEVEL = 6
 MIN_MARGIN = 0.01
 #: Steepness of the score in bits a byte.
 SHARPNESS = 12.0
 UNKNOWN = "und"
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("lang_pred", T.StringType()),
@@ -44,6 +47,15 @@ SCHEMA = T.StructType([
 ])
 
 
+def normalise(text: str) -> bytes:
+    """Lower-case letters (any byte of a non-ASCII character counts as one), runs of others as a blank."""
+    b = np.frombuffer(text.lower().encode(), np.uint8)
+    letter = _LETTER[b]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    return np.where(letter, b, np.uint8(32))[keep].tobytes()
+
+
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """One dictionary for each language of ``rows``, from a bounded sample in hash order."""
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and text != ''")
@@ -59,12 +71,12 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_
     # whole texts in hash order until the budget is met
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     kept = top.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < dict_bytes).orderBy("lang", "k").collect()
-    out: dict[str, list[str]] = {}
+    out: dict[str, list[bytes]] = {}
     for r in kept:
         texts = out.setdefault(r["lang"], [])
-        if r["text"] not in texts[-1:]:  # copies have equal hashes and stand together
-            texts.append(r["text"])
-    return {k: "\n".join(v).encode()[-dict_bytes:] for k, v in sorted(out.items())}
+        if (t := normalise(r["text"])) not in texts[-1:]:  # copies have equal hashes and stand together
+            texts.append(t)
+    return {k: b"\n".join(v)[-dict_bytes:] for k, v in sorted(out.items()) if any(v)}
 
 
 class Classifier:
@@ -82,7 +94,7 @@ class Classifier:
     def classify(self, text: str | None, min_margin: float = MIN_MARGIN) -> tuple[str, float, float, bool]:
         if not text or not self.langs or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0, 0.0, True
-        b = text.encode()
+        b = normalise(text)
         n = max(1, round(len(b) / self.chunk))
         step = -(-len(b) // n)
         parts = [b[i : i + step] for i in range(0, len(b), step)]
