@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches are cut into slices of about this many text bytes before numpy work.
@@ -77,7 +78,7 @@ def cleanup() -> None:
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Cut a batch into slices of about ``limit`` text bytes: at least one row each."""
     col = batch.column(column)
-    sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < batch.num_rows:

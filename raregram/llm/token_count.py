@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -129,7 +130,7 @@ def token_counts(docs: DataFrame, limit: int = 512, id_col: str = "doc_id", text
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column("text")
-            size = pa.compute.binary_length(col).fill_null(0).cast(pa.int64())
+            size = pc.binary_length(col).fill_null(0).cast(pa.int64())
             n = np.fromiter((len(encode_spliced(t, chunk, overlap, path)) if t else 0 for t in map(pa.StringScalar.as_py, col)), np.int64, len(col))
             yield pa.record_batch([batch.column("doc_id"), size, pa.array(n), pa.array(n > limit)], names=SCHEMA.names)
 
