@@ -7,8 +7,11 @@ the driver can reach; a scratch table survives the loss of executors and cuts li
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,27 @@ SLICE_BYTES = 1 << 20
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, in case they don't have it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_raregram_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    tmp = tempfile.mkdtemp(prefix="raregram-")  # the driver serves the file while it lives
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    with zipfile.ZipFile(f"{tmp}/raregram.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(z.filename)
+    sc._raregram_sent = True
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on every executor."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +64,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/raregram/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _scratch.append((spark, path))
+    spark.sparkContext._jvm.System.gc()  # shuffle files that only this write needed can go
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from raregram.llm.common import text_slices, utf8_rows, words_of
+from raregram.llm.common import arrow_map, text_slices, utf8_rows, words_of
 
 WINDOW = 8
 CHUNK_WORDS = 1_000_000
@@ -206,7 +206,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
         # the text's hash tells rows of one id apart where several automata must be united
         hashed = rows.withColumn("hash", F.xxhash64("text") if len(chunks) > 1 else F.lit(0).cast("long"))
-        parts.append(hashed.mapInArrow(run, "doc_id long, hash long, n_words long, spans array<struct<a:long,b:long>>, items array<string>").withColumn("pass", F.lit(len(parts))))
+        parts.append(hashed.transform(arrow_map, run, "doc_id long, hash long, n_words long, spans array<struct<a:long,b:long>>, items array<string>").withColumn("pass", F.lit(len(parts))))
     out = parts[0]
     if len(parts) == 1:
         return out.select("doc_id", "n_words", "spans", "items")
@@ -231,7 +231,7 @@ def measure(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
             n = np.array(n_items, np.int64)
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(n), pa.array(sha, pa.string()), pa.array(n >= 2)], names=SCHEMA.names)
 
-    return findings(docs, benchmark, **options).mapInArrow(run, SCHEMA)
+    return findings(docs, benchmark, **options).transform(arrow_map, run, SCHEMA)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -279,4 +279,4 @@ def _remove_chunk(docs: DataFrame, chunk: list, text_col: str, n_chars_col: str
                         cols[size_at] = pa.array(sizes, part.column(size_at).type)
                 yield pa.record_batch(cols, names=part.schema.names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from raregram.llm.common import arrow_map
+
 DICT_BYTES = 64 << 10
 #: Rows read for one language's dictionary at most.
 SAMPLE_ROWS = 400
@@ -120,4 +122,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
             cols = list(zip(*got, strict=True)) or [[], [], [], []]
             yield pa.record_batch([batch.column("doc_id"), pa.array(cols[0], pa.string()), pa.array(np.array(cols[1], float)), pa.array(np.array(cols[2], float)), pa.array(cols[3], pa.bool_())], names=SCHEMA.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(arrow_map, run, SCHEMA)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raregram.llm import word_bpe
-from raregram.llm.common import text_slices
+from raregram.llm.common import arrow_map, text_slices
 
 LENGTH = 2048
 END_ID = 1
@@ -189,4 +189,4 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, wi
         if rows:
             yield table(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(arrow_map, run, schema)

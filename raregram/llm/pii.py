@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from raregram.llm.common import text_slices
+from raregram.llm.common import arrow_map, text_slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn")
@@ -479,7 +479,7 @@ def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
                 cols = list(zip(*rows, strict=True))
                 yield pa.record_batch([part.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:4]], *[pa.array(c, pa.string()) for c in cols[4:]]], names=SCHEMA.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(arrow_map, run, SCHEMA)
 
 
 def redact(docs: DataFrame, model: Tagger, text_col: str = "text") -> DataFrame:
@@ -504,4 +504,4 @@ def redact(docs: DataFrame, model: Tagger, text_col: str = "text") -> DataFrame:
                 cols = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(part.columns)]
                 yield pa.record_batch(cols, names=part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from raregram.llm.common import mix64, text_slices, utf8_rows, words_of
+from raregram.llm.common import arrow_map, mix64, text_slices, utf8_rows, words_of
 
 MAX_ROWS = 6000
 THRESHOLD = 0.3
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 ids = [x.astype(np.int32) for x in features(*utf8_rows(part.column("text")))]
                 yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "y", "ids"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, ids array<int>").toArrow()
+    got = rows.transform(arrow_map, run, "doc_id long, y int, ids array<int>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     flat = got["ids"].combine_chunks()
     o, v = flat.offsets.to_numpy(), flat.values.to_numpy()
@@ -188,4 +188,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = np.array([m.score(ids) for ids in features(*utf8_rows(part.column("text")))], float)
                 yield pa.record_batch([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=SCHEMA.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(arrow_map, run, SCHEMA)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregram.llm import decontam, langid, packing, pii, quality, secret_scan, token_count
+from raregram.llm import decontam, langid, packing, pii, quality, secret_scan, suffix_dedup, token_count
 from raregram.llm.common import table
 
 
@@ -43,11 +43,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.measure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.measure(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.learn(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality, op4_packing, op6_secret_scan, op7_token_counts, op8_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality, op4_packing, op6_secret_scan, op7_token_counts, op8_decontamination, op9_suffix_dedup, op10_pii)}
 #: None of these can be said in SQL; tests hold them against brute force.
 ORACLES: dict[str, str] = {}

@@ -26,6 +26,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from raregram.llm.common import arrow_map
+
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 #: Fixed value: the special token of byte_bpe_50k.json and its id.
@@ -136,4 +138,4 @@ def token_counts(docs: DataFrame, limit: int = 512, id_col: str = "doc_id", text
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(arrow_map, count, SCHEMA)
