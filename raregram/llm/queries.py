@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregram.llm import decontam, langid, packing, pii, quality, secret_scan, suffix_dedup, token_count
+from raregram.llm import decontam, langid, minhash, packing, pii, quality, secret_scan, suffix_dedup, token_count
 from raregram.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.learn(docs, labels.where(_remainder(5) != 0))
@@ -52,6 +56,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.learn(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality, op4_packing, op6_secret_scan, op7_token_counts, op8_decontamination, op9_suffix_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_quality, op4_packing, op6_secret_scan, op7_token_counts, op8_decontamination, op9_suffix_dedup, op10_pii)}
 #: None of these can be said in SQL; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
