@@ -189,3 +189,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=SCHEMA.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(arrow_map, run, SCHEMA)
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents scored at ``threshold`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part in text_slices(batch, text_col):
+                s = np.array([m.score(ids) for ids in features(*utf8_rows(part.column(text_col)))], float)
+                yield part.filter(pa.array(s >= threshold))
+
+    return docs.transform(arrow_map, run, docs.schema)
