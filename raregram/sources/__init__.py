@@ -1 +1,5 @@
+"""Tables of texts."""
 
+from raregram.sources.text import parquet_table, text_lines, write_lines
+
+__all__ = ["parquet_table", "text_lines", "write_lines"]
