@@ -51,6 +51,13 @@ class GramIndex:
         m = spark.read.parquet(f"{path}/manifest").first()
         return cls(spark.read.schema("gram string, row_id long").parquet(f"{path}/postings"), GramOptions(m["min_q"], m["max_q"], tuple(m["frequent"])))
 
+    @staticmethod
+    def drop(spark: SparkSession, path: str) -> bool:
+        """Delete a stored index; whether there was one."""
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return files.delete(target, True)
+
     def keys(self, pattern: str, escape: str = "\\") -> list[str]:
         return pattern_keys(pattern, self.options, escape)
 

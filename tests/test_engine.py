@@ -90,6 +90,7 @@ def test_index_answers_are_scan_answers(spark, docs, tmp_path, options):
             assert got == want, (p, fold)
     assert index.like(docs, "row_id", "s", None).count() == 0
     assert index.like(docs, "row_id", "s", "%zz%", probe=1).count() == sum("zz" in (t or "") for t in texts)
+    assert GramIndex.drop(spark, str(tmp_path / "index")) and not GramIndex.drop(spark, str(tmp_path / "index"))
 
 
 def test_frequent_set_of_longer_grams_loses_no_row(spark):
