@@ -10,7 +10,7 @@ The benchmark is read once and its words are counted; beyond ``chunk_words`` it
 each sent out and passed over the documents by itself, and their findings are united by document.
 
 Behaviour: null and empty texts have no words; items without words have no windows; repeated
-items count by their ids; repeated rows and null ids are kept; an empty table of either kind
+items count by their ids, and items without an id mark words only; repeated rows and null ids are kept; an empty table of either kind
 gives no hits; only the named columns are read.
 """
 
@@ -201,7 +201,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                     found = auto.find(h, offs)
                     none = (np.zeros(0, bool), set())
                     spans = [[{"a": a, "b": b} for a, b in _runs(found.get(i, none)[0])] for i in range(part.num_rows)]
-                    items = [sorted(str(x) for x in found.get(i, none)[1]) for i in range(part.num_rows)]
+                    items = [sorted(str(x) for x in found.get(i, none)[1] if x is not None) for i in range(part.num_rows)]
                     yield pa.record_batch([part.column("doc_id"), part.column("hash"), pa.array(np.diff(offs).astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "hash", "n_words", "spans", "items"])
 
         # the text's hash tells rows of one id apart where several automata must be united
