@@ -34,6 +34,14 @@ def _small(edges: DataFrame) -> DataFrame:
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def contract(edges: DataFrame, rounds: int) -> DataFrame:
+    """(u, v) after a fixed number of rounds: v is a node of u's component, not always its least one."""
+    edges = edges.select("u", "v").where("u != v").distinct()
+    for _ in range(rounds):
+        edges = materialize(_small(_large(edges)), "links")
+    return edges.groupBy("u").agg(F.min("v").alias("v"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) with v the least node of u's component, for every node but the least ones."""
     edges = materialize(edges.select("u", "v").where("u != v").distinct(), "links")

@@ -9,10 +9,10 @@ similarity. Blocks above a count are never opened, and points after the time by
 components are filled are never made: the horizon is doubled only for documents with a gap.
 
 Documents with equal multisets are one content. Contents that share a band of the signature are
-candidates; in each bucket every content is compared with the least one, and contents that end in
-different components of a bucket are compared with each other unless weights or distances to the
-least content (the distance is a metric) rule a link out. So no group is expanded into all its pairs, and
-no verified link between the candidates of a bucket is lost. Components of links are classes.
+candidates; in each bucket every content is compared with its head, the one that meets most others, and
+contents outside the head's component are compared with those of the open buckets that an exact prefix filter
+leaves. So no group is expanded into all its pairs, and no link between the candidates of a bucket is
+lost. Components of links are classes.
 
 Behaviour: a text of fewer than ``shingle`` words is one shingle; texts without words are copies
 only of byte-equal texts, and a null text is alone; repeated rows are in one class; the class id
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raregram.llm.common import arrow_map, drop_scratch, materialize, mix64, text_slices, utf8_rows, words_of
-from raregram.llm.components import components
+from raregram.llm.components import components, contract
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -184,14 +184,57 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return both.transform(arrow_map, run, f"u {node}, v {node}, sim double")
 
 
+def _rest(contents: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs (u, v) of a lone content and another one that may still be similar, by exact prefix filtering.
+
+    A content is the set of its (shingle, occurrence) tokens. Two contents of similarity ``threshold``
+    share more tokens than either leaves out of its prefix, the rarest ``n - ceil(threshold * n) + 1`` of its
+    n tokens, so their prefixes share one, and the first one shared stands early enough in both. Tokens of a
+    single content only shorten its prefix: an edited copy with enough words of its own has no partner.
+    """
+    node = "struct<a:long,b:long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                row, item, weight = shingles(*utf8_rows(part.column("text")), k)
+                each = np.repeat(np.arange(len(row)), weight)
+                turn = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
+                with np.errstate(over="ignore"):
+                    token = mix64(item[each] + turn.astype(np.uint64) * _STEP).view(np.int64)
+                yield pa.record_batch([part.column("f").take(pa.array(row[each])), pa.array(token)], names=["f", "token"])
+
+    tokens = materialize(texts.join(contents.select("f"), "f", "left_semi").transform(arrow_map, run, f"f {node}, token long"), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    size = tokens.groupBy("f").agg(F.count("*").alias("n"))
+    kept = tokens.join(common, "token").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    # single tokens are the rarest: they fill the prefix first, and the places before the others
+    left = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) - (F.col("n") - F.size("t"))
+    prefix = kept.join(size, "f").join(contents, "f").withColumn("left", left).where("left > 0")
+    prefix = prefix.select("f", "lone", "comp", "n", F.size("t").alias("rest"), F.posexplode(F.expr("slice(t, 1, int(left))")).alias("i", "x"))
+    # ``rest``: tokens from this one on
+    prefix = materialize(prefix.select("f", "lone", "comp", "n", (F.col("rest") - F.col("i")).alias("rest"), "x.token"), "prefix")
+    one = prefix.where("lone").select("token", F.col("f").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
+    two = prefix.select("token", F.col("f").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
+    # the first token that two contents share leaves at most the shorter rest in common
+    enough = F.least("ru", "rv") * (1 + threshold) >= threshold * (F.col("nu") + F.col("nv")) - 1e-6
+    pairs = one.join(two, "token").where((F.col("cu") != F.col("cv")) & enough)
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, hash, f, root): each document's content and the least content of its class."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", F.hash("text"))
     sig = materialize(_sign(docs, shingle, bands, rows), "signatures")
     reps = sig.where("weight > 0").groupBy("f").agg(F.min(F.struct("doc_id", "hash")).alias("place"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     bucket = reps.select("f", "weight", F.explode("bands").alias("band"))
-    heads = bucket.groupBy("band").agg(F.min("f").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    bucket = materialize(bucket.join(heads, "band"), "buckets")
+    sizes = bucket.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(bucket.join(sizes, "band"), "shared")
+    # The head of a bucket is the content that meets most others over all its bands: of edited copies, the least edited.
+    met = shared.groupBy("f").agg(F.sum("n").alias("met"))
+    ranked = shared.join(met, "f").select("band", "f", "weight", "met")
+    heads = ranked.groupBy("band").agg(F.max(F.struct("met", "f")).alias("top")).select("band", F.col("top.f").alias("head"))
+    bucket = materialize(ranked.join(heads, "band").select("band", "f", "weight", "head"), "buckets")
     pairs = bucket.where("f != head").select(F.col("f").alias("u"), F.col("head").alias("v")).distinct()
     pairs = materialize(pairs, "pairs")
     # texts of the contents that take part, one row each
@@ -199,33 +242,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     texts = docs.join(part, docs.doc_id.eqNullSafe(part.d) & (docs.hash == part.h)).select("f", "text").dropDuplicates(["f"])
     texts = materialize(texts, "texts")
     sims = materialize(_verify(pairs, texts, shingle), "similarities")
-    links = components(sims.where(F.col("sim") >= threshold).select("u", "v"))
-    # buckets whose contents are not yet one component
-    far = 1 - threshold
-    known = sims.select(F.col("u").alias("f"), F.col("v").alias("head"), (1 - F.col("sim")).alias("d"))
-    placed = bucket.join(links.withColumnRenamed("u", "f"), "f", "left").withColumn("comp", F.coalesce("v", "f")).drop("v")
-    split = placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("band")
-    open_ = placed.join(split, "band").join(known, ["f", "head"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    open_ = materialize(open_.select("band", "f", "head", "comp", "weight", "d"), "open")
-    # each content outside its head's component against the others of the bucket
-    heads = open_.where("f = head").select("band", F.col("comp").alias("main"))
-    lone = open_.join(heads, "band").where("comp != main").select("band", F.col("f").alias("v"), F.col("comp").alias("cv"), F.col("weight").alias("wv"), F.col("d").alias("dv"), "main")
-    other = open_.where("f != head").select("band", F.col("f").alias("u"), F.col("comp").alias("cu"), F.col("weight").alias("wu"), F.col("d").alias("du"))
-    # |du - dv| <= far only for the same or a neighbouring cell of that width
-    cell = lambda c: F.floor(F.col(c) / far + 1e-9)
-    lone = lone.withColumn("cell", F.explode(F.array(cell("dv") - 1, cell("dv"), cell("dv") + 1)))
-    more = lone.join(other.withColumn("cell", cell("du")), ["band", "cell"]).where(
-        (F.col("cu") != F.col("cv"))
-        & (F.abs(F.col("du") - F.col("dv")) <= far + 1e-9)
-        & (F.least("wu", "wv") >= threshold * F.greatest("wu", "wv") - 1e-9)
-        & ((F.col("cu") == F.col("main")) | (F.col("u") < F.col("v")))
-    )
-    more = materialize(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "more")
+    first = sims.where(F.col("sim") >= threshold).select("u", "v")
+    comp = contract(first, 2)
+    near = comp.select(F.col("u").alias("f"), F.col("v").alias("cf"))
+    top = comp.select(F.col("u").alias("head"), F.col("v").alias("ch"))
+    placed = bucket.join(near, "f", "left").join(top, "head", "left").withColumn("lone", F.coalesce("cf", "f") != F.coalesce("ch", "head"))
+    placed = materialize(placed.select("band", "f", F.coalesce("cf", "f").alias("comp"), "lone"), "placed")
+    # contents of buckets that are not one component yet
+    open_ = placed.join(placed.where("lone").select("band").distinct(), "band", "left_semi").groupBy("f").agg(F.bool_or("lone").alias("lone"), F.min("comp").alias("comp"))
+    more = materialize(_rest(open_, texts, shingle, threshold), "more")
     again = _verify(more, texts, shingle).where(F.col("sim") >= threshold).select("u", "v")
-    links = components(links.unionByName(again))
+    links = components(comp.unionByName(first).unionByName(again))
     out = sig.select("doc_id", "hash", "f").join(links.select(F.col("u").alias("f"), F.col("v").alias("root")), "f", "left").select("doc_id", "hash", "f", F.coalesce("root", "f").alias("root"))
     out = materialize(out, "classes")
-    for used in (sig, bucket, pairs, texts, sims, open_, more, links):
+    for used in (sig, shared, bucket, pairs, texts, sims, placed, more, comp, links):
         drop_scratch(used)
     return out
 
