@@ -233,7 +233,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     # The head of a bucket is the content that meets most others over all its bands: of edited copies, the least edited.
     met = shared.groupBy("f").agg(F.sum("n").alias("met"))
     ranked = shared.join(met, "f").select("band", "f", "weight", "met")
-    heads = ranked.groupBy("band").agg(F.max(F.struct("met", "f")).alias("top")).select("band", F.col("top.f").alias("head"))
+    heads = materialize(ranked.groupBy("band").agg(F.max(F.struct("met", "f")).alias("top")).select("band", F.col("top.f").alias("head")), "heads")
     bucket = materialize(ranked.join(heads, "band").select("band", "f", "weight", "head"), "buckets")
     pairs = bucket.where("f != head").select(F.col("f").alias("u"), F.col("head").alias("v")).distinct()
     pairs = materialize(pairs, "pairs")
@@ -245,8 +245,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     first = sims.where(F.col("sim") >= threshold).select("u", "v")
     comp = contract(first, 2)
     near = comp.select(F.col("u").alias("f"), F.col("v").alias("cf"))
-    top = comp.select(F.col("u").alias("head"), F.col("v").alias("ch"))
-    placed = bucket.join(near, "f", "left").join(top, "head", "left").withColumn("lone", F.coalesce("cf", "f") != F.coalesce("ch", "head"))
+    # a head's component is looked up once for each bucket, not for each of its rows
+    top = heads.join(comp.select(F.col("u").alias("head"), F.col("v").alias("ch")), "head", "left").select("band", F.coalesce("ch", "head").alias("ch"))
+    placed = bucket.join(near, "f", "left").join(top, "band").withColumn("lone", F.coalesce("cf", "f") != F.col("ch"))
     placed = materialize(placed.select("band", "f", F.coalesce("cf", "f").alias("comp"), "lone"), "placed")
     # contents of buckets that are not one component yet
     open_ = placed.join(placed.where("lone").select("band").distinct(), "band", "left_semi").groupBy("f").agg(F.bool_or("lone").alias("lone"), F.min("comp").alias("comp"))
@@ -255,7 +256,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     links = components(comp.unionByName(first).unionByName(again))
     out = sig.select("doc_id", "hash", "f").join(links.select(F.col("u").alias("f"), F.col("v").alias("root")), "f", "left").select("doc_id", "hash", "f", F.coalesce("root", "f").alias("root"))
     out = materialize(out, "classes")
-    for used in (sig, shared, bucket, pairs, texts, sims, placed, more, comp, links):
+    for used in (sig, shared, heads, bucket, pairs, texts, sims, placed, more, comp, links):
         drop_scratch(used)
     return out
 
