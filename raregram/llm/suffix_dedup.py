@@ -39,8 +39,10 @@ LENGTH = 200
 GRAM = 40
 #: Different segments of an owner up to which one task compares them.
 CROWD = 4000
-#: Bytes of segments in one suffix array.
-BLOCK_BYTES = 1 << 22
+#: Bytes of segments in one suffix array: the arrays of one sort take about a hundred times as much.
+BLOCK_BYTES = 1 << 20
+#: Bytes of rows whose segments are made at a time.
+SLICE_BYTES = 1 << 18
 #: Window starts handled at a time, and the bits that hold a place within them.
 STRETCH = 1 << 20
 _PLACE_BITS = 24
@@ -94,15 +96,18 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         live = live[size[g] > 1]
         if not len(live):
             break
+        # one number holds the group (dense) and the next five bytes
         pos = order[live] + done
-        k = np.where(pos < n, w8[np.minimum(pos, n - 1)], 0)
-        by = np.lexsort((k, group[live]))
+        g = group[live]
+        dense = np.concatenate([[0], np.cumsum(g[1:] != g[:-1])]).astype(np.uint64)
+        k = dense << np.uint64(40) | np.where(pos < n, w8[np.minimum(pos, n - 1)], np.uint64(0)) >> np.uint64(24)
+        by = np.argsort(k)
         order[live] = order[live][by]
-        k, g = k[by], group[live]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])
+        k = k[by]
+        new = np.concatenate([[True], k[1:] != k[:-1]])
         # groups keep their places; parts of a group are told apart by their first place
         group[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
-        done += 8
+        done += 5
     first = data[order]
     start = np.searchsorted(first, np.arange(257))
     # induction: the suffix before a sorted one, if larger than its successor, comes next in its bucket
@@ -216,7 +221,7 @@ def _emit(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE_BYTES):
                 data, offs = utf8_rows(part.column("text"))
                 row, start, n, owner, content = segments(data, offs, length, gram)
                 _, one, back, times = np.unique(owner ^ mix64(content), return_index=True, return_inverse=True, return_counts=True)
