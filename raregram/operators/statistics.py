@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raregram.functions.words import text_grams
+from raregram.functions.words import gram_count, row_grams
 from raregram.options import check_lengths
 
 #: Fixed values of column statistics: gram lengths, grams kept for each unit of target, and the terms of the cutoff.
@@ -20,7 +20,7 @@ SAMPLE_PER_TARGET = 300
 
 def gram_frequencies(df: DataFrame, text: str, min_q: int, max_q: int, by: Sequence[str] = ()) -> DataFrame:
     """(by..., gram, df): in how many rows each gram occurs. Rows are counted before the shuffle."""
-    once = df.select(*by, F.explode(F.array_distinct(text_grams(F.col(text), min_q, max_q))).alias("gram"))
+    once = df.select(*by, F.explode(row_grams(F.col(text), min_q, max_q)).alias("gram"))
     return once.groupBy(*by, "gram").agg(F.count("*").alias("df"))
 
 
@@ -84,12 +84,11 @@ def analyze(df: DataFrame, text: str, target: int = DEFAULT_TARGET, sample: bool
         n = df.count()
         df = df.sample(min(1.0, SAMPLE_PER_TARGET * target / n), seed) if n else df
     kept = KEPT_PER_TARGET * target
-    all_grams = text_grams(F.col(text), STAT_MIN_Q, STAT_MAX_Q)
     shape = df.agg(
         F.count("*").alias("n_rows"),
         F.count(text).alias("n_text"),
         F.coalesce(F.avg(F.octet_length(text)), F.lit(0.0)).alias("avg_width"),
-        F.coalesce(F.sum(F.size(all_grams).cast("long")), F.lit(0)).alias("occurrences"),
+        F.coalesce(F.sum(gram_count(F.col(text), STAT_MIN_Q, STAT_MAX_Q)), F.lit(0)).alias("occurrences"),
     )
     counts = gram_frequencies(df, text, STAT_MIN_Q, STAT_MAX_Q)
     passed = counts.join(F.broadcast(shape), how="cross").where(F.col("df") > cutoff(F.col("occurrences"), target))
