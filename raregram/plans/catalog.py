@@ -101,8 +101,9 @@ def qgram_stat_null_rows(spark, sf_dir):
 
 def qgram_stat_rollup(spark, sf_dir):
     """Gram frequencies by language and over all."""
-    once = _docs(spark, sf_dir).select("doc_id", "lang", F.explode(F.array_distinct(F.flatten(F.transform(words(F.col("text")), lambda w: F.array(F.substring(w, 1, 3)))))).alias("gram"))
-    return once.rollup("lang", "gram").agg(F.count("*").alias("df")).where("lang is not null or gram is null")
+    counts = gram_frequencies(_docs(spark, sf_dir), "text", MIN_Q, MAX_Q, by=["lang"])
+    # a row has each of its grams once, so the totals are sums of the groups' counts
+    return counts.rollup("lang", "gram").agg(F.sum("df").alias("df")).where("lang is not null or gram is null")
 
 
 def rare_grams_part_name(spark, sf_dir):

@@ -12,6 +12,7 @@ from raregram.functions.sql import register
 from raregram.operators import Frequencies, GramIndex, analyze, like, like_join, like_share, like_share_of, not_like, qgram_stat, rare_grams, rare_grams_udf
 from raregram.operators.statistics import read_stats, write_stats
 from raregram.options import GramOptions
+from raregram.plans import catalog
 from raregram.plans.access import choose, search
 from raregram.sources import text_lines, write_lines
 from raregram.streaming import GramIngest, stream_frequencies
@@ -52,6 +53,19 @@ def test_qgram_stat(spark, docs):
         qgram_stat(df, "s", 3, 2, 0.5)
 
 
+def test_rollup_counts_every_gram(spark, tmp_path):
+    """All grams of all words, by language and over all; not only the first three characters of a word."""
+    texts = [("en", "indexing the index"), ("en", "zz Index"), ("de", "index"), ("de", None), ("fr", "")]
+    spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, t in texts:
+        for g in {w[p : p + q] for w in padded_words(t or "") for q in (2, 3, 4) for p in range(len(w) - q + 1)}:
+            for key in ((k, g), (k, None), (None, None)):
+                want[key] = want.get(key, 0) + 1
+    got = catalog.qgram_stat_rollup(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["lang"], r["gram"]): r["df"] for r in got} == want
+
+
 def test_rare_grams_paths_agree(spark, docs):
     frequent = qgram_stat(docs, "s", 2, 4, 0.2).first()["grams"]
     a = {r["row_id"]: r["grams"] for r in rare_grams(docs, "row_id", "s", GramOptions(2, 4, tuple(frequent))).collect()}
