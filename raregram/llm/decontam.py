@@ -238,18 +238,23 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n_char
     """All columns of ``docs`` without hit spans in the text.
 
     Documents of which hit words are ``max_coverage`` or more are removed whole. With several automata
-    the text is passed through one after the other, each finding what the others leave; coverage is of what is left.
+    each adds its spans of the uncut text to a column; the last cuts the union and judges coverage of the whole text.
     """
-    for chunk in load_items(benchmark, chunk_words=chunk_words):
-        docs = _remove_chunk(docs, chunk, text_col, n_chars_col, window, max_coverage)
-    return docs
+    chunks = load_items(benchmark, chunk_words=chunk_words)
+    schema, out = docs.schema, docs
+    for k, chunk in enumerate(chunks):
+        out = _remove_pass(out, schema, chunk, text_col, n_chars_col, window, max_coverage, first=k == 0, last=k == len(chunks) - 1)
+    return out
 
 
-def _remove_chunk(docs: DataFrame, chunk: list, text_col: str, n_chars_col: str | None, window: int, max_coverage: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(chunk)
-    names = docs.columns
+def _remove_pass(rows: DataFrame, schema: T.StructType, chunk: list, text_col: str, n_chars_col: str | None, window: int, max_coverage: float, first: bool, last: bool) -> DataFrame:
+    """Unite the spans of one automaton with those of the passes before, in a last column; the last pass cuts."""
+    shared = rows.sparkSession.sparkContext.broadcast(chunk)
+    names = schema.names
     at = names.index(text_col)
     size_at = names.index(n_chars_col) if n_chars_col in names else None
+    extra = "_" * (1 + max(map(len, names)))  # a name that no column has
+    span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = Automaton(shared.value, window)
@@ -257,19 +262,27 @@ def _remove_chunk(docs: DataFrame, chunk: list, text_col: str, n_chars_col: str
             for part in text_slices(batch, text_col):
                 data, offs = utf8_rows(part.column(at))
                 start, end, h, wo = words_of(data, offs)
-                found = auto.find(h, wo)
+                found = {i: mask for i, (mask, _) in auto.find(h, wo).items()}
+                cols = list(part.columns)
+                if not first:
+                    for i, spans in enumerate(cols.pop().to_pylist()):
+                        for x in spans:
+                            found.setdefault(i, np.zeros(wo[i + 1] - wo[i], bool))[x["a"] : x["b"]] = True
+                if not last:
+                    spans = [[{"a": a, "b": b} for a, b in _runs(found[i])] if i in found else [] for i in range(part.num_rows)]
+                    yield pa.record_batch([*cols, pa.array(spans, span_type)], names=[*names, extra])
+                    continue
                 texts = part.column(at).to_pylist() if found else None
                 keep = np.ones(part.num_rows, bool)
-                for i, (mask, _) in found.items():
+                for i, mask in found.items():
                     if mask.mean() >= max_coverage:
                         keep[i] = False
                         continue
-                    out, last = [], int(offs[i])
+                    out, done = [], int(offs[i])
                     for a, b in _runs(mask):
-                        out.append(data[last : start[wo[i] + a]].tobytes())
-                        last = int(end[wo[i] + b - 1])
-                    texts[i] = b"".join([*out, data[last : offs[i + 1]].tobytes()]).decode()
-                cols = list(part.columns)
+                        out.append(data[done : start[wo[i] + a]].tobytes())
+                        done = int(end[wo[i] + b - 1])
+                    texts[i] = b"".join([*out, data[done : offs[i + 1]].tobytes()]).decode()
                 if found:
                     cols[at] = pa.array(texts, pa.string())
                     if size_at is not None:
@@ -277,6 +290,7 @@ def _remove_chunk(docs: DataFrame, chunk: list, text_col: str, n_chars_col: str
                         for i in found:
                             sizes[i] = len(texts[i])
                         cols[size_at] = pa.array(sizes, part.column(size_at).type)
-                yield pa.record_batch(cols, names=part.schema.names).filter(pa.array(keep))
+                yield pa.record_batch(cols, names=names).filter(pa.array(keep))
 
-    return docs.transform(arrow_map, run, docs.schema)
+    spans = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    return rows.transform(arrow_map, run, schema if last else T.StructType([*schema.fields, T.StructField(extra, spans)]))

@@ -210,6 +210,30 @@ def hits_by_definition(docs, items):
     return sorted(out, key=repr)
 
 
+def test_removal_is_the_same_with_several_automata(spark, edges):
+    """Spans of all automata are of the uncut text, cut once, and coverage is of their union."""
+    w = [f"w{i}" for i in range(200)]
+    items = [w[0:8], w[4:12], w[20:50], w[60:90], ["s1", "s2", "s3", "s4"] + w[100:150], ["x1"] * 55]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    n = [f"n{i}" for i in range(200)]
+    texts = {
+        1: n[:40] + w[0:12] + n[40:80],  # windows of two items that overlap
+        2: n[:10] + w[20:35] + n[10:15] + w[60:75] + n[15:20],  # each item hits less than half, both together more
+        3: n[:40] + w[96:100] + w[0:8] + w[100:104] + n[40:60],
+        4: n[:30] + w[20:24] + w[0:8] + w[24:28] + n[30:50],  # a cut joins words to a window of another item
+        5: n[:30],
+    }
+    rows = [(i, " ".join(t), len(" ".join(t))) for i, t in texts.items()]
+    docs = spark.createDataFrame([*rows, rows[0], (None, rows[3][1], rows[3][2]), (7, None, None)], "doc_id long, text string, n_chars long")
+    one = sorted(map(tuple, decontam.remove(docs, bench).collect()), key=repr)
+    assert (1, " ".join(n[:40]) + "  " + " ".join(n[40:80]), 2 + len(" ".join(n[:40])) + len(" ".join(n[40:80]))) in one
+    assert sorted(r[0] for r in one if r[0]) == [1, 1, 3, 4, 5, 7]
+    assert any(r[0] == 4 and all(x in r[1].split() for x in w[20:28]) for r in one)
+    for size in (8, 30, 60):
+        assert sorted(map(tuple, decontam.remove(docs, bench, chunk_words=size).collect()), key=repr) == one
+    assert decontam.remove(edges, bench, chunk_words=60).columns == edges.columns
+
+
 @pytest.mark.parametrize("short", [False, True])
 def test_decontamination(spark, edges, empty, short):
     rng = random.Random(13)
