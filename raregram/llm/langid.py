@@ -4,8 +4,8 @@ For each language a raw-content zstandard dictionary is made of sample texts. Te
 to lower-case letters, each run of anything else to one blank. A text is cut into chunks, every chunk is compressed with each dictionary, and the language with the smallest total
 wins; a winner ahead by less than ``min_margin`` (as a part of the runner-up's size) is rejected.
 
-The sample is bounded: at most ``dict_bytes`` of whole texts a language, taken by text hash from
-the rows given for learning. Everything after that reads all rows and whole texts, in one pass
+The sample is bounded: at most ``dict_bytes`` of at most ``sample_rows`` distinct texts a language, those of
+the lowest hashes among the rows given for learning; copies count once. Everything after that reads all rows and whole texts, in one pass
 without a shuffle.
 
 Behaviour: null texts and texts without a letter are ``und`` with score 0; null languages are
@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 from raregram.llm.common import arrow_map
 
 DICT_BYTES = 64 << 10
-#: Rows read for one language's dictionary at most.
+#: Distinct texts read for one language's dictionary at most.
 SAMPLE_ROWS = 400
+#: One text takes a MAX_PARTS-th of a dictionary at most, unless the others leave room.
+MAX_PARTS = 8
 CHUNK_BYTES = 4096
 LEVEL = 6
 MIN_MARGIN = 0.01
@@ -61,24 +63,40 @@ def normalise(text: str) -> bytes:
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """One dictionary for each language of ``rows``, from a bounded sample in hash order."""
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and text != ''")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    # hash thresholds leave a few times the rows wanted, so that the ranking below is of a bounded set
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 4.0 * sample_rows / n))])
     h = F.xxhash64("text")
-    spread = (h.cast("double") / 2.0**63 + 1) / 2
-    some = rows.where(spread <= share[F.col("lang")]).select("lang", "text", h.alias("h"))
-    top = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_rows)
-    # whole texts in hash order until the budget is met
-    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-    kept = top.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < dict_bytes).orderBy("lang", "k").collect()
-    out: dict[str, list[bytes]] = {}
+    rows = rows.withColumn("h", h)
+    # the lowest hashes of distinct texts, so copies neither lower the share of a language nor use up its sample
+    low = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_rows)
+    ends = {r["lang"]: r["end"] for r in low.groupBy("lang").agg(F.max("h").alias("end")).collect()}
+    if not ends:
+        return {}
+    end = F.create_map(*[F.lit(x) for pair in sorted(ends.items()) for x in pair])
+    # of a text longer than a dictionary, a piece at a place chosen by its hash
+    at = F.pmod("h", F.greatest(F.length("text") - dict_bytes + 1, F.lit(1)).cast("long")).cast("int") + 1
+    piece = F.when(F.length("text") <= dict_bytes, F.col("text")).otherwise(F.substring(F.col("text"), at, F.lit(dict_bytes)))
+    top = rows.where(F.col("h") <= end[F.col("lang")]).select("lang", "h", piece.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # in hash order until the budget is met, to which a text counts with its part at most
+    part = max(1, dict_bytes // MAX_PARTS)
+    before = F.sum(F.least(F.octet_length("text"), F.lit(part))).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    kept = top.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < dict_bytes).orderBy("lang", "h").collect()
+    out: dict[str, list[tuple[int, bytes]]] = {}
     for r in kept:
-        texts = out.setdefault(r["lang"], [])
-        if (t := normalise(r["text"])) not in texts[-1:]:  # copies have equal hashes and stand together
-            texts.append(t)
-    return {k: b"\n".join(v)[-dict_bytes:] for k, v in sorted(out.items()) if any(v)}
+        out.setdefault(r["lang"], []).append((r["h"], normalise(r["text"])))
+    return {k: _fill(v, dict_bytes, part) for k, v in sorted(out.items()) if any(t for _, t in v)}
+
+
+def _fill(texts: list[tuple[int, bytes]], dict_bytes: int, part: int) -> bytes:
+    """The texts, of each at most ``part`` bytes, or more where few texts leave room; the place of a piece is chosen by hash."""
+    room = dict_bytes
+    for i, n in enumerate(sizes := sorted(len(t) for _, t in texts)):
+        if n * (len(sizes) - i) >= room:
+            part = max(part, room // (len(sizes) - i))
+            break
+        room -= n
+    else:
+        part = max(part, sizes[-1])
+    pieces = [t[(at := h % (len(t) - part + 1)) : at + part] if len(t) > part else t for h, t in texts]
+    return b"\n".join(pieces)[-dict_bytes:]
 
 
 class Classifier:

@@ -142,6 +142,24 @@ def test_language(spark, edges, empty, rng):
     assert langid.identify(empty, known).count() == 0
 
 
+def test_language_sample_is_of_distinct_texts(spark, rng):
+    """A language of few texts in many copies has a dictionary; a hot or a long text leaves room for the others."""
+    from pyspark.sql import functions as F
+
+    make, other = made_language(rng, "abcdefgh"), made_language(rng, "ijklmnop")
+    few = spark.createDataFrame([(make(20), "aa") for _ in range(4)], "text string, lang string")
+    texts = spark.createDataFrame([(other(60), "bb") for _ in range(300)], "text string, lang string")
+    hot = texts.orderBy(F.xxhash64("text")).limit(1)
+    copies = spark.range(200_000)
+    known = langid.learn(few.crossJoin(copies.drop("id")).unionByName(texts).unionByName(hot.crossJoin(spark.range(2000)).drop("id")))
+    assert list(known) == ["aa", "bb"]
+    assert all(langid.normalise(r["text"]).strip() in known["aa"] for r in few.collect())
+    assert len(known["bb"]) > 0.9 * langid.DICT_BYTES and known["bb"].count(b"\n") > 50
+    long = spark.createDataFrame([(other(200_000), "bb")], "text string, lang string")
+    with_long = langid.learn(texts.unionByName(long))["bb"]
+    assert with_long.count(b"\n") > 50 and len(langid.learn(long)["bb"]) == langid.DICT_BYTES
+
+
 # quality
 
 
