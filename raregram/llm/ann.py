@@ -17,8 +17,8 @@ The queries are a stated set; they are sent in blocks of a fixed size to blocks
 gives its best ``k``, of which the best ``k`` are kept. There is no all-pairs table.
 
 Behaviour: vectors that are null, empty, zero, of a length other than the commonest one, or hold a null or
-non-finite number take no part; ties go to the smaller id; repeated ids are rows of their own, but never neighbours of
-themselves; fewer than ``k`` candidates give all; an empty table gives no rows.
+non-finite number take no part; ties go to the smaller id; rows alike in id and vector count once, as queries
+and as neighbours; other repeated ids are rows of their own, but never neighbours of themselves; fewer than ``k`` candidates give all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -169,15 +169,15 @@ def search(vectors: DataFrame, is_query, k: int = K, bits: int = BITS, sample_ro
         picked = good.select("vec_id", "v").orderBy(h).limit(1).toArrow()
     coder = Coder(np.array(picked["v"].to_pylist(), float).reshape(-1, dim), bits, k)
     shared = spark.sparkContext.broadcast(coder)
-    # copies together, with their least ids: no more than k + 1 of one vector can be results
+    # rows alike in id and vector count once; copies together, with their least ids: no more than k + 1 of one vector can be results
     copies = good.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
     few = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-    part = copies.groupBy("v", "salt").agg(few(F.collect_list("vec_id")).alias("ids"))
+    part = copies.groupBy("v", "salt").agg(few(F.collect_set("vec_id")).alias("ids"))
     distinct = part.groupBy("v").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
     n_query = max(1, good.where("q").count())
     q_blocks, r_blocks = -(-n_query // QUERY_BLOCK), -(-rows // ROW_BLOCK)
     # each query block goes to every row block, and each row block to every query block
-    queries = good.where("q").select(F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("rb"), "vec_id", "v")
+    queries = good.where("q").select("vec_id", "v").distinct().select(F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("rb"), "vec_id", "v")
     base = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(r_blocks)).cast("int").alias("rb"), "ids", "v")
 
     def matrix(col) -> np.ndarray:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from raregram.llm import ann, decontam, minhash, suffix_dedup
 from raregram.llm.components import components
@@ -210,6 +211,23 @@ def hits_by_definition(docs, items):
     return sorted(out, key=repr)
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Rows alike in id and vector count once, as queries and as neighbours."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 16))
+    x[60:90] = x[60]
+    once = [(i, v.tolist(), i < 3 or i == 61) for i, v in enumerate(x)]
+    more = once[:2] * 2 + [once[60]] * 25
+    name = "vec_id long, embedding array<double>, q boolean"
+    found = {}
+    for r in ann.search(spark.createDataFrame(once + more, name).repartition(3), F.col("q")).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(found) == [0, 1, 2, 61]
+    for i, got in found.items():
+        assert sorted(k for k, _ in got) == list(range(1, 21)) and len({j for _, j in got}) == 20 and i not in {j for _, j in got}
+    assert {j for _, j in found[61]} == {60, *range(62, 81)}
+
+
 def test_removal_is_the_same_with_several_automata(spark, edges):
     """Spans of all automata are of the uncut text, cut once, and coverage is of their union."""
     w = [f"w{i}" for i in range(200)]
