@@ -13,12 +13,15 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from raregram.shipping import ship
 
 #: Arrow batches are cut into slices of about this many text bytes before numpy work.
 SLICE_BYTES = 1 << 20
+#: A key is heavy where it has more than this part of all rows; so there are fewer than HEAVY_KEYS heavy keys.
+HEAVY_KEYS = 1000
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -33,10 +36,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(*columns: str | Column) -> list[Column]:
+    """Columns ``k1`` and ``k2``: 128 bits of a row's content, by which the row is found again.
+
+    Rows alike in the columns have one key, and no rows else: 64 bits alone would meet by chance among
+    billions of rows, and ids may be null or repeated.
+    """
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(0x5EED), *columns).alias("k2")]
+
+
+def free_name(columns: list[str], stem: str = "x") -> str:
+    """A column name that begins with ``stem`` and that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join with ``right``, which has one row for each key and says how many rows of ``left`` have it.
+
+    The fewer than HEAVY_KEYS keys that hold more than a HEAVY_KEYS-th of ``total`` rows are sent to all tasks, so their
+    rows are not shuffled; all other keys meet in a shuffle that no key dominates. Keys are never null.
+    """
+    many = F.col(count) > total / HEAVY_KEYS
+    heavy = F.broadcast(right.where(many))
+    light = left.join(F.broadcast(right.where(many).select(*on)), on, "left_anti").join(right.where(~many), on)
+    return left.join(heavy, on).unionByName(light)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; one of our own only where the session names none."""
+    """The shared scratch folder; one of our own only where the session names none and everything runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="raregram-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -21,6 +21,7 @@ is the least id of the class, null ids last; an empty table gives no rows; only
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raregram.llm.common import arrow_map, drop_scratch, materialize, mix64, text_slices, utf8_rows, words_of
+from raregram.llm.common import arrow_map, drop_scratch, free_name, join_counted, materialize, mix64, row_key, text_slices, utf8_rows, words_of
 from raregram.llm.components import components, contract
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
+#: Ratio of one step of sizes in the key of the token join.
+SIZE_STEP = 1.03
 #: Expected gaps after the first horizon are exp(-SLACK).
 SLACK = 2.5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +122,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return least / total if total else 1.0
 
 
-_SIG = "doc_id long, hash int, f struct<a:long,b:long>, weight long, bands array<long>"
+_SIG = "doc_id long, k1 long, k2 long, f struct<a:long,b:long>, weight long, bands array<long>"
 
 
 def _sign(docs: DataFrame, k: int, bands: int, depth: int) -> DataFrame:
@@ -153,7 +156,7 @@ def _sign(docs: DataFrame, k: int, bands: int, depth: int) -> DataFrame:
                 f = pa.array([x if t else None for x, t in zip(f.to_pylist(), part.column("text").is_valid().to_pylist(), strict=True)], f.type) if part.column("text").null_count else f
                 counts = np.where(some, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key[some].ravel()))
-                yield pa.record_batch([part.column("doc_id"), part.column("hash"), f, pa.array(total), lists], names=["doc_id", "hash", "f", "weight", "bands"])
+                yield pa.record_batch([part.column("doc_id"), part.column("k1"), part.column("k2"), f, pa.array(total), lists], names=["doc_id", "k1", "k2", "f", "weight", "bands"])
 
     return arrow_map(docs.withColumn("blank", F.xxhash64(F.lit(1), "text")), run, _SIG)
 
@@ -214,19 +217,31 @@ def _rest(contents: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     prefix = prefix.select("f", "lone", "comp", "n", F.size("t").alias("rest"), F.posexplode(F.expr("slice(t, 1, int(left))")).alias("i", "x"))
     # ``rest``: tokens from this one on
     prefix = materialize(prefix.select("f", "lone", "comp", "n", (F.col("rest") - F.col("i")).alias("rest"), "x.token"), "prefix")
-    one = prefix.where("lone").select("token", F.col("f").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
-    two = prefix.select("token", F.col("f").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
-    # the first token that two contents share leaves at most the shorter rest in common
-    enough = F.least("ru", "rv") * (1 + threshold) >= threshold * (F.col("nu") + F.col("nv")) - 1e-6
-    pairs = one.join(two, "token").where((F.col("cu") != F.col("cv")) & enough)
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # The first token that two contents share leaves at most the shorter rest in common, so a content with n tokens and
+    # a rest of r meets no other of more than (1 + t) / t * r - n tokens, nor of sizes below t * n or above n / t.
+    # Sizes go into the key in steps, so contents whose rests are too short for each other don't meet at all.
+    def step(n):
+        return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+
+    slack = 1e-6
+    least = F.greatest(F.lit(1.0), threshold * F.col("n") - slack)
+    most = F.least(F.col("n") / threshold, (1 + threshold) / threshold * F.col("rest") - F.col("n")) + slack
+    one = prefix.where("lone").where(most >= least).select("token", F.explode(F.sequence(step(least), step(most))).alias("size"), F.col("f").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
+    two = prefix.where(most >= least).select("token", step(F.col("n")).alias("size"), F.col("f").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
+    enough = F.least("ru", "rv") * (1 + threshold) >= threshold * (F.col("nu") + F.col("nv")) - slack
+    pairs = one.join(two, ["token", "size"]).where((F.col("cu") != F.col("cv")) & enough)
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "more")
+    for used in (tokens, prefix):
+        drop_scratch(used)
+    return pairs
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, hash, f, root): each document's content and the least content of its class."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", F.hash("text"))
+    """(doc_id, k1, k2, f, root): each document's content and the least content of its class."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select("*", *row_key("doc_id", "text"))
     sig = materialize(_sign(docs, shingle, bands, rows), "signatures")
-    reps = sig.where("weight > 0").groupBy("f").agg(F.min(F.struct("doc_id", "hash")).alias("place"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    reps = sig.where("weight > 0").groupBy("f").agg(F.min(F.struct("k1", "k2")).alias("place"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     bucket = reps.select("f", "weight", F.explode("bands").alias("band"))
     sizes = bucket.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(bucket.join(sizes, "band"), "shared")
@@ -238,8 +253,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     pairs = bucket.where("f != head").select(F.col("f").alias("u"), F.col("head").alias("v")).distinct()
     pairs = materialize(pairs, "pairs")
     # texts of the contents that take part, one row each
-    part = bucket.select("f").distinct().join(reps.select("f", "place"), "f").select("f", F.col("place.doc_id").alias("d"), F.col("place.hash").alias("h"))
-    texts = docs.join(part, docs.doc_id.eqNullSafe(part.d) & (docs.hash == part.h)).select("f", "text").dropDuplicates(["f"])
+    part = bucket.select("f").distinct().join(reps.select("f", "place"), "f").select("f", "place.*")
+    texts = docs.join(part, ["k1", "k2"]).select("f", "text").dropDuplicates(["f"])
     texts = materialize(texts, "texts")
     sims = materialize(_verify(pairs, texts, shingle), "similarities")
     first = sims.where(F.col("sim") >= threshold).select("u", "v")
@@ -251,10 +266,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     placed = materialize(placed.select("band", "f", F.coalesce("cf", "f").alias("comp"), "lone"), "placed")
     # contents of buckets that are not one component yet
     open_ = placed.join(placed.where("lone").select("band").distinct(), "band", "left_semi").groupBy("f").agg(F.bool_or("lone").alias("lone"), F.min("comp").alias("comp"))
-    more = materialize(_rest(open_, texts, shingle, threshold), "more")
+    more = _rest(open_, texts, shingle, threshold)
     again = _verify(more, texts, shingle).where(F.col("sim") >= threshold).select("u", "v")
     links = components(comp.unionByName(first).unionByName(again))
-    out = sig.select("doc_id", "hash", "f").join(links.select(F.col("u").alias("f"), F.col("v").alias("root")), "f", "left").select("doc_id", "hash", "f", F.coalesce("root", "f").alias("root"))
+    out = sig.select("doc_id", "k1", "k2", "f").join(links.select(F.col("u").alias("f"), F.col("v").alias("root")), "f", "left").select("doc_id", "k1", "k2", "f", F.coalesce("root", "f").alias("root"))
     out = materialize(out, "classes")
     for used in (sig, shared, heads, bucket, pairs, texts, sims, placed, more, comp, links):
         drop_scratch(used)
@@ -264,15 +279,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id) of every document."""
     rows = classes(docs, **options)
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(least, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    known = rows.where("root is not null")
+    least = materialize(known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")), "roots")
+    named = join_counted(known, least, ["root"], "rows", known.count()).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return named.unionByName(rows.where("root is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, the one with the least id, with all its columns; null texts stay."""
+    """One document of each class, the one with the least id, with all its columns; null texts stay.
+
+    Of rows alike in id and text any one is kept. Columns of any name are kept as they are.
+    """
     rows = classes(docs, id_col=id_col, text_col=text_col, **options)
-    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("p")).select(F.col("p.doc_id").alias("_d"), F.col("p.hash").alias("_h"))
-    texts = docs.where(F.col(text_col).isNotNull()).withColumn("_hash", F.hash(text_col))
-    kept = texts.join(first, F.col(id_col).cast("long").eqNullSafe(first._d) & (texts._hash == first._h), "left_semi")
-    kept = kept.dropDuplicates([id_col, "_hash"]).select(*docs.columns)  # repeated rows
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("p")).select("p.k1", "p.k2")
+    a, b = free_name(docs.columns, "k1"), free_name(docs.columns, "k2")
+    keys = row_key(F.col(id_col).cast("long"), F.col(text_col))
+    texts = docs.where(F.col(text_col).isNotNull()).withColumns({a: keys[0], b: keys[1]})
+    kept = texts.join(first.select(F.col("k1").alias(a), F.col("k2").alias(b)), [a, b], "left_semi")
+    kept = kept.dropDuplicates([a, b]).select(*docs.columns)  # repeated rows
     return kept.unionByName(docs.where(F.col(text_col).isNull()))
