@@ -6,16 +6,15 @@ are compared without sorting all suffixes of the corpus in one place:
 1. Each window of ``length`` bytes is owned by the smallest hash among its ``gram``-byte grams (the first of
    equals), so equal windows have equal owners wherever they stand. Neighbouring windows with one
    owner form a segment, which is known by its owner's hash and the hash of its bytes.
-2. Segments that occur twice are removed whole. Owners that occur once cannot hold a repeat.
-   Both are counted by hash aggregation, which combines before the shuffle.
-3. What is left are owners with several different segments, such as the edges of shared passages.
-   One copy of each is fetched, and the segments of an owner are compared by a suffix array: suffixes smaller
-   than their successors are sorted directly, the others are induced by scans over the first
-   bytes' buckets, and windows are repeated where neighbours in suffix order share ``length`` bytes.
+2. Owners that occur once cannot hold a repeat; they are counted by hash aggregation, which combines before the shuffle.
+3. Of each content of the other owners two occurrences are fetched, or its only one, and the segments of an owner are
+   compared by a suffix array: suffixes smaller than their successors are sorted directly, the others are
+   induced by scans over the first bytes' buckets, and windows are repeated where neighbours in suffix order share ``length``
+   bytes. What is found in a content holds for all its occurrences; hashes only bring them together.
    Owners with more than ``crowd`` different segments are not brought together in one task; their
    windows are counted by hash aggregation instead, with the same result.
 
-Copies inside one batch of rows are resolved at once, so periodic texts do not inflate the tables. Results are exact up to collisions of 128-bit keys.
+Documents are found again by 128 bits of id and text together. Copies inside one batch of rows are resolved at once, so periodic texts do not inflate the tables. Results are exact up to collisions of 128-bit keys.
 
 Behaviour: null texts are empty; texts shorter than ``length`` bytes and empty texts lose nothing;
 repeated rows (also of one id) are repeats of each other; null ids are kept; an empty table gives
@@ -29,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from raregram.llm.common import arrow_map, drop_scratch, materialize, mix64, prefix_hash, range_hash, text_slices, utf8_rows
+from raregram.llm.common import arrow_map, drop_scratch, join_counted, materialize, mix64, prefix_hash, range_hash, row_key, text_slices, utf8_rows
 
 LENGTH = 200
 GRAM = 40
@@ -66,15 +66,15 @@ def _words8(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffix starts in the order of their first ``depth`` bytes or more.
+def suffix_order(data: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The ``wanted`` suffix starts, or all, in the order of their first ``depth`` bytes or more.
 
     Two stages: suffixes smaller than their successors are sorted directly; each other suffix is
     induced from its successor, by one scan over the buckets of first bytes in ascending order.
     """
     n = len(data)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n) if wanted is None else np.flatnonzero(wanted)
     # smaller than the successor: by the next differing byte; the last suffix is larger than the empty one
     change = np.flatnonzero(data[:-1] != data[1:])
     nxt = np.searchsorted(change, np.arange(n))
@@ -82,12 +82,21 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     has = nxt < len(change)
     at = change[nxt[has]]
     small[has] = data[at] < data[at + 1]
-    direct = np.flatnonzero(small)
+    need = np.ones(n, bool)
+    if wanted is not None:
+        # a larger suffix is induced along its successors up to a smaller one, so those are needed too
+        last = np.maximum.accumulate(np.where(wanted, np.arange(n), -1))
+        before = np.concatenate([[-1], np.maximum.accumulate(np.where(small, np.arange(n), -1))[:-1]])
+        need = last > before
+    direct = np.flatnonzero(small & need)
     w8 = _words8(data)
     # direct sort: by eight bytes at a time, refining only groups that are still tied
     order = direct[np.argsort(w8[direct], kind="stable")]
     key = w8[order]
     group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(order) else np.empty(0, np.int64)
+    # later words by their ranks, as many to a round as fit one number with the group
+    rank = np.unique(w8, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+    bits = int(rank.max()).bit_length()
     done = 8
     live = np.arange(len(order))
     while done < depth and len(live):
@@ -96,31 +105,33 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         live = live[size[g] > 1]
         if not len(live):
             break
-        # one number holds the group (dense) and the next five bytes
         pos = order[live] + done
         g = group[live]
-        dense = np.concatenate([[0], np.cumsum(g[1:] != g[:-1])]).astype(np.uint64)
-        k = dense << np.uint64(40) | np.where(pos < n, w8[np.minimum(pos, n - 1)], np.uint64(0)) >> np.uint64(24)
+        k = np.concatenate([[0], np.cumsum(g[1:] != g[:-1])]).astype(np.uint64)
+        words = max(1, (64 - int(k[-1]).bit_length()) // bits)
+        for j in range(words):
+            p = pos + 8 * j
+            k = k << np.uint64(bits) | np.where(p < n, rank[np.minimum(p, n - 1)], np.uint64(0))
         by = np.argsort(k)
         order[live] = order[live][by]
         k = k[by]
         new = np.concatenate([[True], k[1:] != k[:-1]])
         # groups keep their places; parts of a group are told apart by their first place
         group[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
-        done += 5
+        done += 8 * words
     first = data[order]
     start = np.searchsorted(first, np.arange(257))
     # induction: the suffix before a sorted one, if larger than its successor, comes next in its bucket
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
     out: list[np.ndarray] = []
-    if not small[n - 1]:
+    if need[n - 1] and not small[n - 1]:
         buckets[data[n - 1]].append(np.array([n - 1]))
     present = np.flatnonzero(np.bincount(data, minlength=256))
 
     def induce(c: int, found: np.ndarray) -> np.ndarray:
         """Send the predecessors of sorted suffixes to their buckets; those of this bucket come back."""
         prev = found[found > 0] - 1
-        prev = prev[~small[prev]]
+        prev = prev[need[prev] & ~small[prev]]
         byte = data[prev]
         far = byte > c
         if far.any():
@@ -141,13 +152,13 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         if len(mine):
             out.append(mine)
             induce(c, mine)
-    return np.concatenate(out)
+    out = np.concatenate(out) if out else np.empty(0, np.int64)
+    return out if wanted is None else out[wanted[out]]
 
 
 def repeated_windows(data: np.ndarray, window_ok: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Marks of the starts whose ``length`` bytes occur at another start; only starts in ``window_ok`` count."""
-    order = suffix_order(data, length)
-    order = order[window_ok[order]]
+    order = suffix_order(data, length, window_ok)
     same = np.ones(max(0, len(order) - 1), bool)
     w8 = _words8(data)
     live = np.flatnonzero(same)
@@ -213,7 +224,7 @@ def _stretch(data: np.ndarray, offs: np.ndarray, length: int, gram: int, at0: in
 
 # A segment's place is start * 256 + windows. Rows without an owner are spans already known to repeat,
 # with the end in ``content``.
-_SEGMENTS = "doc long, hash int, place long, owner long, content long, k int"
+_SEGMENTS = "k1 long, k2 long, place long, owner long, content long, k int"
 
 
 def _emit(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -239,74 +250,80 @@ def _emit(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 body = np.concatenate([content[one].view(np.int64), b[last] - offs[r1]])
                 k = np.concatenate([times, np.zeros(len(cut), np.int64)]).astype(np.int32)
                 take = pa.array(rows)
-                yield pa.record_batch([part.column("doc_id").take(take), part.column("hash").take(take), pa.array(place), own, pa.array(body), pa.array(k)], names=["doc", "hash", "place", "owner", "content", "k"])
+                yield pa.record_batch([part.column("k1").take(take), part.column("k2").take(take), pa.array(place), own, pa.array(body), pa.array(k)], names=["k1", "k2", "place", "owner", "content", "k"])
 
-    return docs.transform(arrow_map, run, _SEGMENTS)
+    return docs.select("k1", "k2", "text").transform(arrow_map, run, _SEGMENTS)
+
+
+_BODY = "k1 long, k2 long, start long, owner long, content long, role int, crowded boolean, body binary"
+#: What a body is: the only occurrence of its content, one that stands for all occurrences, a second occurrence
+#: of such a one, or one for both where all occurrences have one key and place.
+_ONLY, _LEAD, _SECOND, _BOTH = 0, 1, 2, 3
 
 
 def _fetch(reps: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The bytes of chosen segments."""
-    wanted = reps.groupBy("doc", "hash").agg(F.collect_list(F.struct("place", "owner", "single", "crowded")).alias("wanted"))
-    rows = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc) & (docs.hash == wanted.hash)).select("doc", wanted.hash, "text", "wanted")
+    """The bytes of chosen segments, each once however many rows are alike."""
+    wanted = reps.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "owner", "content", "role", "crowded")).alias("wanted"))
+    rows = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "hash", "start", "owner", "single", "crowded", "body"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
         for batch in batches:
             for part in text_slices(batch):
-                out = []
-                for d, h, t, w in zip(*(part.column(k).to_pylist() for k in ("doc", "hash", "text", "wanted")), strict=True):
-                    b = t.encode()
-                    for x in w:
-                        start, n = divmod(x["place"], 256)
-                        out.append((d, h, start, x["owner"], x["single"], x["crowded"], b[start : start + n + length - 1]))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                data, offs = utf8_rows(part.column("text"))
+                lists = part.column("wanted")
+                of = pa.array(np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()))
+                w = dict(zip((f.name for f in lists.type.value_type), lists.flatten().flatten(), strict=True))
+                start, n = np.divmod(w.pop("place").to_numpy(), 256)
+                size = n + length - 1
+                ends = np.cumsum(size)
+                body = data[np.repeat(offs[of.to_numpy()] + start - (ends - size), size) + np.arange(size.sum())]
+                body = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(body)]).cast(pa.binary())
+                yield pa.record_batch([part.column("k1").take(of), part.column("k2").take(of), pa.array(start), *w.values(), body], names=["k1", "k2", "start", *w, "body"])
 
-    return rows.transform(arrow_map, run, "doc long, hash int, start long, owner long, single boolean, crowded boolean, body binary")
+    return rows.transform(arrow_map, run, _BODY)
 
 
-_SPAN = "doc long, hash int, a long, b long"
+# A span has a key and is absolute, or it has an owner and content and holds for all their occurrences.
+_SPAN = "k1 long, k2 long, owner long, content long, a long, b long"
 
 
 def _compare(bodies: DataFrame, length: int, parts: int) -> DataFrame:
     """Spans repeated among the segments of one owner, which share a partition, by suffix arrays."""
 
-    def spans(block: list) -> list:
-        data = np.frombuffer(b"".join(x[5] for x in block), np.uint8)
-        ends = np.cumsum([len(x[5]) for x in block])
-        seg = np.searchsorted(ends, np.arange(len(data)), side="right")
-        ok = np.arange(len(data)) + length <= ends[seg]
-        hit = repeated_windows(data, ok, length)
-        base = ends - [len(x[5]) for x in block]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        out = []
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            while a < b:  # a run may go on into the next segment
-                i = seg[a]
-                stop = min(b, ends[i])
-                x = block[i]
-                if x[4]:
-                    out.append((x[0], x[1], int(x[2] + a - base[i]), int(x[2] + stop - 1 - base[i] + length)))
-                a = stop
-        return out
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows, which come by owner, in blocks of about BLOCK_BYTES that end between owners."""
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            owner = batch.column("owner").to_numpy()
+            new = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+            size = np.cumsum(pc.binary_length(batch.column("body")).to_numpy(), dtype=np.int64)
+            at = 0
+            while (i := np.searchsorted(size[new - 1], (size[at - 1] if at else 0) + BLOCK_BYTES)) < len(new):
+                yield batch.slice(at, new[i] - at)
+                at = new[i]
+            held = batch.slice(at)
+        if held is not None and held.num_rows:
+            yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, owner = [], 0, None
-
-        def table(block):
-            got = spans(block)
-            return pa.record_batch([pa.array([r[k] for r in got], pa.int32() if k == 1 else pa.int64()) for k in range(4)], names=["doc", "hash", "a", "b"])
-
-        for batch in batches:
-            for x in zip(*(batch.column(k).to_pylist() for k in ("doc", "hash", "start", "owner", "single", "body")), strict=True):
-                if x[3] != owner and size >= BLOCK_BYTES:  # rows come by owner; a block ends between owners
-                    yield table(held)
-                    held, size = [], 0
-                owner = x[3]
-                held.append(x)
-                size += len(x[5])
-        if held:
-            yield table(held)
+        for block in blocks(batches):
+            role = block.column("role").to_numpy()
+            twice = np.repeat(np.arange(len(role)), np.where(role == _BOTH, 2, 1))
+            role = np.where(role[twice] == _BOTH, np.where(np.diff(twice, prepend=-1) > 0, _LEAD, _SECOND), role[twice])
+            data, offs = utf8_rows(block.column("body").take(pa.array(twice)))
+            seg = np.repeat(np.arange(len(twice)), np.diff(offs))
+            hit = repeated_windows(data, np.arange(len(data)) + length <= offs[seg + 1], length)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+            a, b = edge[::2], edge[1::2]  # no run goes on into the next segment: its last windows would not fit
+            a, b = (x[role[seg[a]] != _SECOND] for x in (a, b))
+            i = seg[a]
+            one = role[i] == _ONLY
+            start = block.column("start").to_numpy()[twice[i]] * one - offs[i]
+            rows = block.take(pa.array(twice[i]))
+            here = lambda name, keep: pa.array(rows.column(name).to_numpy(), mask=~keep)
+            yield pa.record_batch([here("k1", one), here("k2", one), here("owner", ~one), here("content", ~one), pa.array(start + a), pa.array(start + b - 1 + length)], names=["k1", "k2", "owner", "content", "a", "b"])
 
     return bodies.repartition(parts, "owner").sortWithinPartitions("owner").transform(arrow_map, run, _SPAN)
 
@@ -324,39 +341,52 @@ def _count(bodies: DataFrame, length: int) -> DataFrame:
             x = mix64(range_hash(prefix_hash(data), p, p + length))
             y = mix64(range_hash(prefix_hash(data, _BASE2), p, p + length, _BASE2))
             take = lambda k: batch.column(k).take(pa.array(seg))
-            yield pa.record_batch([take("doc"), take("hash"), pa.array(np.asarray(batch.column("start"))[seg] + at), take("single"), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["doc", "hash", "a", "single", "x", "y"])
+            yield pa.record_batch([take("k1"), take("k2"), pa.array(np.asarray(batch.column("start"))[seg] + at), take("role"), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["k1", "k2", "a", "role", "x", "y"])
 
-    windows = bodies.transform(arrow_map, run, "doc long, hash int, a long, single boolean, x long, y long")
-    # segments are distinct, so a window that occurs once has one place
+    one = bodies.where(F.col("role") != _SECOND)
+    windows = one.transform(arrow_map, run, "k1 long, k2 long, a long, role int, x long, y long")
+    # one body of each content is counted, so a window that occurs once has one place
     often = windows.groupBy("x", "y").agg(F.count("*").alias("k")).where("k > 1")
-    return windows.where("single").join(often, ["x", "y"], "left_semi").select("doc", "hash", "a", (F.col("a") + length).alias("b"))
+    none = F.lit(None).cast("long")
+    found = windows.where(F.col("role") == _ONLY).join(often, ["x", "y"], "left_semi").select("k1", "k2", none.alias("owner"), none.alias("content"), "a", (F.col("a") + length).alias("b"))
+    whole = one.where(F.col("role") != _ONLY).select(none.alias("k1"), none.alias("k2"), "owner", "content", F.lit(0).cast("long").alias("a"), F.length("body").cast("long").alias("b"))
+    return found.unionByName(whole)
 
 
 def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents with a hash of their text, and (doc, hash, spans) of what repeats."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.hash("text"))
+    """(doc_id, text, k1, k2) of the documents, and (k1, k2, spans) of what repeats."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select("*", *row_key("doc_id", "text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     seg = materialize(_emit(docs, length, gram), "segments")
     own = seg.where("owner is not null")
-    owners = own.groupBy("owner").agg(F.sum("k").alias("k"), (F.min("content") != F.max("content")).alias("mixed")).where("k > 1")
-    repeated = materialize(own.join(owners.select("owner", "mixed"), "owner"), "repeated")
-    known = materialize(seg.where("owner is null").select("doc", "hash", F.floor(F.col("place") / 256).alias("a"), F.col("content").alias("b")), "known")
+    total = own.count()
+    owners = materialize(own.groupBy("owner").agg(F.sum("k").alias("k"), F.count("*").alias("rows")).where("k > 1").select("owner", "rows"), "owners")
+    repeated = materialize(join_counted(own, owners, ["owner"], "rows", total).drop("rows"), "repeated")
+    known = materialize(seg.where("owner is null").select("k1", "k2", F.floor(F.col("place") / 256).alias("a"), F.col("content").alias("b")), "known")
     drop_scratch(seg)
-    # one place of each content, and how often it occurs
-    contents = repeated.groupBy("owner", "content").agg(F.sum("k").alias("k"), F.min(F.struct("doc", "hash", "place")).alias("rep"), F.first("mixed").alias("mixed"))
+    # two places of each content, or one where it is single
+    place = F.struct("k1", "k2", "place")
+    contents = repeated.groupBy("owner", "content").agg(F.sum("k").alias("k"), F.count("*").alias("rows"), F.min(place).alias("p"), F.max(place).alias("q"))
     contents = materialize(contents, "contents")
-    start = F.floor(F.col("place") / 256)
-    whole = repeated.join(contents.where("k > 1").select("owner", "content"), ["owner", "content"], "left_semi").select("doc", "hash", start.alias("a"), (start + F.col("place") % 256 + length - 1).alias("b"))
-    # owners of which no content is single have nothing more to find
-    mixed = contents.where("mixed").select("owner", (F.col("k") == 1).alias("single"), "rep.*")
-    sizes = mixed.groupBy("owner").agg(F.count("*").alias("c"), F.max(F.col("single").cast("int")).alias("open")).where("open = 1")
-    reps = mixed.join(sizes.select("owner", (F.col("c") > crowd).alias("crowded")), "owner")
+    one, same = F.col("k") == 1, F.col("p") == F.col("q")
+    role = lambda r: F.lit(r).alias("role")
+    roles = F.when(one, F.array(F.struct("p.*", role(_ONLY)))).when(same, F.array(F.struct("p.*", role(_BOTH)))).otherwise(F.array(F.struct("p.*", role(_LEAD)), F.struct("q.*", role(_SECOND))))
+    sizes = contents.groupBy("owner").agg((F.count("*") > crowd).alias("crowded"))
+    reps = contents.select("owner", "content", F.explode(roles).alias("r")).join(sizes, "owner").select("owner", "content", "crowded", "r.*")
     bodies = materialize(_fetch(reps, docs, length), "bodies")
-    few, many = bodies.where("not crowded"), bodies.where("crowded")
-    spans = known.unionByName(whole).unionByName(_compare(few, length, parts)).unionByName(_count(many, length))
-    spans = spans.groupBy("doc", "hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    spans = materialize(spans, "spans")
-    for used in (repeated, known, contents, bodies):
+    found = _compare(bodies.where("not crowded"), length, parts).unionByName(_count(bodies.where("crowded"), length))
+    found = materialize(found, "found")
+    start = F.floor(F.col("place") / 256)
+    # what was found in a content holds wherever it occurs
+    each = found.where("owner is not null").groupBy("owner", "content").agg(F.collect_set(F.struct("a", "b")).alias("in")).join(contents.select("owner", "content", "rows"), ["owner", "content"])
+    each = materialize(each, "each")
+    whole = join_counted(repeated.select("k1", "k2", "place", "owner", "content"), each, ["owner", "content"], "rows", total)
+    whole = whole.select("k1", "k2", start.alias("start"), F.explode("in").alias("s")).select("k1", "k2", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    spans = known.unionByName(whole).unionByName(found.where("owner is null").select("k1", "k2", "a", "b"))
+    # rows that are alike have the same spans: each counts once
+    spans = materialize(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    for used in (owners, repeated, known, contents, bodies, found, each):
         drop_scratch(used)
     return docs, spans
 
@@ -370,7 +400,7 @@ def _mask(n: int, spans: list) -> np.ndarray:
 
 
 def _join(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    return docs.join(spans, docs.doc_id.eqNullSafe(spans.doc) & (docs.hash == spans.hash), "left").select("doc_id", "text", "spans")
+    return docs.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
 
 
 def measure(docs: DataFrame, **options) -> DataFrame:

@@ -356,3 +356,28 @@ def test_pipeline(spark):
     assert packing.SCHEMA == outs[-1].schema and quality.THRESHOLD == 0.3
     tokens = lambda df: df.agg({"length": "sum"}).first()[0]
     assert tokens(corpus_pipeline.run(spark, SF_DIR)) == tokens(outs[-1])
+
+
+def test_rows_are_told_apart_whatever_a_short_hash_says(spark):
+    """Different texts with null ids and one 32-bit hash: both stay, and nothing of them is removed."""
+    words = lambda i: F.regexp_replace(F.sha2(i.cast("string"), 512), "(.{8})", "$1 ")
+    many = spark.range(200_000).select(F.concat(words(F.col("id")), words(-F.col("id") - 1)).alias("text"))
+    pairs = many.withColumn("h", F.hash("text")).groupBy("h").agg(F.collect_list("text").alias("t")).where("size(t) = 2").limit(1).collect()
+    assert pairs
+    for p in pairs:
+        a, b = p["t"]
+        docs = spark.createDataFrame([(None, a), (None, b)], "doc_id long, text string")
+        assert a != b
+        assert minhash.deduplicate(docs).count() == 2
+        assert [r["n_removed"] for r in suffix_dedup.measure(docs).collect()] == [0, 0]
+
+
+def test_many_equal_rows_of_one_id(spark):
+    rng = random.Random(22)
+    text, other = prose(rng, 90), prose(rng, 90)
+    docs = spark.createDataFrame([(1, text)] * 3000 + [(2, other)] + [(None, text)] * 500, "doc_id long, text string").repartition(7)
+    got = suffix_dedup.measure(docs).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    size = len(text.encode())
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, size, 1, 3000), (2, 0, 0, 1), (None, size, 1, 500)], key=repr)
+    assert sorted(r["doc_id"] for r in minhash.deduplicate(docs).collect()) == [1, 2]
+    assert {(r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(docs).collect()} == {(1, 1), (2, 2), (None, 1)}
