@@ -48,13 +48,20 @@ def _in_word(t: Token) -> bool:
     return t.kind == LITERAL and t.char.isascii() and t.char.isalnum()
 
 
-def fragments(pattern: str, escape: str = "\\") -> list[str]:
-    """Lower-case stretches of word characters that every match holds.
+def _folds_into_word(t: Token) -> bool:
+    """Whether the literal is no word character itself but its lower case holds one, as of U+0130 and U+212A."""
+    return t.kind == LITERAL and not t.char.isascii() and any(c.isascii() and c.isalnum() for c in t.char.lower())
+
+
+def fragments(pattern: str, escape: str = "\\", fold: bool = False) -> list[str]:
+    """Lower-case stretches of word characters that every match holds, with ``fold`` every match in any case.
 
     A side is padded where the word surely ends there: at the pattern's end or at a literal that is no word
-    character. A wildcard may stand for more of the word.
+    character. A wildcard may stand for more of the word, and with ``fold`` so may a literal that folds into a word.
     """
     parts = tokens(pattern, escape)
+    if fold:
+        parts = [Token(ANY_RUN) if _folds_into_word(t) else t for t in parts]
     out, i = [], 0
     while i < len(parts):
         if not _in_word(parts[i]):
@@ -70,8 +77,8 @@ def fragments(pattern: str, escape: str = "\\") -> list[str]:
     return out
 
 
-def keys(pattern: str, options: GramOptions, escape: str = "\\", closed: frozenset[str] | None = None) -> list[str]:
+def keys(pattern: str, options: GramOptions, escape: str = "\\", closed: frozenset[str] | None = None, fold: bool = False) -> list[str]:
     """The index keys that every match of the pattern has, sorted by bytes; none means that all rows are candidates."""
     closed = frozenset(options.closed) if closed is None else closed
-    found = {g for f in fragments(pattern, escape) for g in minimal_grams(f, options.min_q, options.max_q, closed)}
+    found = {g for f in fragments(pattern, escape, fold) for g in minimal_grams(f, options.min_q, options.max_q, closed)}
     return sorted(found, key=str.encode)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from typing import List  # noqa: UP035  the form that Spark reads from a hint
 
 import pandas as pd
@@ -10,7 +9,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from raregram.functions.minimal import FrequentPrefixes, given_grams, padded_words
-from raregram.functions.patterns import ANY_ONE, ANY_RUN, tokens
 from raregram.functions.patterns import keys as pattern_keys
 from raregram.options import GramOptions, check_lengths
 from raregram.shipping import ship
@@ -52,23 +50,17 @@ def register(spark: SparkSession, **names: str) -> None:
         limit = int((len(text) - 1) * share)
         return sorted((g for g, n in count.items() if n >= limit), key=str.encode)
 
-    @F.pandas_udf("boolean")
-    def like(text: pd.Series, pattern: pd.Series) -> pd.Series:
-        return pd.Series([_matches(t, p, False) for t, p in zip(text, pattern, strict=True)], dtype=object)
-
-    @F.pandas_udf("boolean")
-    def ilike(text: pd.Series, pattern: pd.Series) -> pd.Series:
-        return pd.Series([_matches(t, p, True) for t, p in zip(text, pattern, strict=True)], dtype=object)
-
     @F.pandas_udf("array<string>")
     def keys(pattern: pd.Series, min_q: pd.Series, max_q: pd.Series, frequent: pd.Series) -> pd.Series:
         return pd.Series([None if p is None else pattern_keys(p, GramOptions(int(a), int(b), tuple(f))) for p, a, b, f in zip(pattern, min_q, max_q, frequent, strict=True)])
 
     spark.udf.register(called["rare_grams"], rare)
     spark.udf.register(called["qgram_stat"], stat)
-    spark.udf.register(called["gram_like"], like)
-    spark.udf.register(called["gram_ilike"], ilike)
     spark.udf.register(called["gram_keys"], keys)
+    # any character may be escaped here; LIKE itself takes an escape before wildcards and backslashes only
+    plain = r"regexp_replace(pattern, r'\\([^%_\\])|(\\[%_\\])', '$1$2')"
+    for name, operator in (("gram_like", "LIKE"), ("gram_ilike", "ILIKE")):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {called[name]}(text STRING, pattern STRING) RETURNS BOOLEAN RETURN text {operator} {plain}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {called['gram_cmp']}(a STRING, b STRING) RETURNS INT RETURN CASE WHEN a < b THEN -1 WHEN a > b THEN 1 WHEN a = b THEN 0 END")
 
     @F.udtf(returnType="gram string, df bigint")
@@ -86,12 +78,3 @@ def register(spark: SparkSession, **names: str) -> None:
             yield from self.count.items()
 
     spark.udtf.register(called["gram_stat"], GramStat)
-
-
-def _matches(text, pattern, fold: bool):
-    if text is None or pattern is None:
-        return None
-    expr = "".join("." if t.kind == ANY_ONE else ".*" if t.kind == ANY_RUN else re.escape(t.char.lower() if fold else t.char) for t in tokens(pattern))
-    return re.fullmatch(expr, text.lower() if fold else text, re.DOTALL) is not None
-
-

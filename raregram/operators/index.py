@@ -17,6 +17,10 @@ from raregram.options import GramOptions
 ODD_CASE = "[İK]"
 #: The key under which those rows are posted.
 ODD_KEY = ""
+#: Candidates up to this many are sent into the scan as ranges and a list; more are joined.
+MOST_PUSHED, RANGES = 4096, 64
+#: Size of the row groups of a table laid out for searches.
+GROUP_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -25,6 +29,8 @@ class GramIndex:
 
     postings: DataFrame
     options: GramOptions
+    #: Whether looking up a few keys is a short job of its own.
+    stored: bool = False
 
     @classmethod
     def build(cls, df: DataFrame, row_id: str, text: str, options: GramOptions) -> GramIndex:
@@ -49,7 +55,7 @@ class GramIndex:
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> GramIndex:
         m = spark.read.parquet(f"{path}/manifest").first()
-        return cls(spark.read.schema("gram string, row_id long").parquet(f"{path}/postings"), GramOptions(m["min_q"], m["max_q"], tuple(m["frequent"])))
+        return cls(spark.read.parquet(f"{path}/postings").select("gram", "row_id"), GramOptions(m["min_q"], m["max_q"], tuple(m["frequent"])), stored=True)
 
     @staticmethod
     def drop(spark: SparkSession, path: str) -> bool:
@@ -58,8 +64,8 @@ class GramIndex:
         files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         return files.delete(target, True)
 
-    def keys(self, pattern: str, escape: str = "\\") -> list[str]:
-        return pattern_keys(pattern, self.options, escape)
+    def keys(self, pattern: str, escape: str = "\\", fold: bool = False) -> list[str]:
+        return pattern_keys(pattern, self.options, escape, fold=fold)
 
     def rarest(self, keys: list[str], most: int) -> list[str]:
         """The ``most`` keys with the fewest postings; absent keys come first."""
@@ -82,12 +88,17 @@ class GramIndex:
             return df.where(F.lit(False))
         plain = normalise(pattern, escape)
         match = F.col(text).ilike(plain) if fold else F.col(text).like(plain)
-        keys = self.keys(pattern, escape)
+        keys = self.keys(pattern, escape, fold)
         if not keys:
             return df.where(match)
         if probe and len(keys) > probe:
             keys = self.rarest(keys, probe)
-        found = self.candidates(keys, fold).withColumnRenamed("row_id", "_candidate")
+        candidates = self.candidates(keys, fold)
+        if self.stored:
+            few = [r["row_id"] for r in candidates.limit(MOST_PUSHED + 1).collect()]
+            if len(few) <= MOST_PUSHED:
+                return df.where(_one_of(F.col(row_id), few)).where(match)
+        found = candidates.withColumnRenamed("row_id", "_candidate")
         return df.join(found, F.col(row_id) == F.col("_candidate"), "left_semi").where(match)
 
     def like(self, df: DataFrame, row_id: str, text: str, pattern: str | None, escape: str = "\\", **options) -> DataFrame:
@@ -97,6 +108,28 @@ class GramIndex:
         return self.search(df, row_id, text, pattern, escape, fold=True, **options)
 
 
+def store_rows(df: DataFrame, row_id: str, path: str, group_bytes: int = GROUP_BYTES, partitions: int | None = None) -> DataFrame:
+    """The table laid out by row, in small row groups, so that a search through a stored index reads the groups of its candidates alone."""
+    p = df.repartitionByRange(partitions, row_id) if partitions else df.repartitionByRange(row_id)
+    p.sortWithinPartitions(row_id).write.mode("overwrite").option("parquet.block.size", group_bytes).option("parquet.block.size.row.check.min", 10).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _one_of(row: Column, ids: list) -> Column:
+    """Whether the row is one of a bounded list, with ranges around them that a scan can skip row groups by."""
+    if not ids:
+        return F.lit(False)
+    ids = sorted(ids)
+    gaps = range(1, len(ids))
+    if not isinstance(ids[0], str):  # the widest gaps part the ranges
+        gaps = sorted(gaps, key=lambda i: ids[i - 1] - ids[i])
+    cuts = sorted([*list(gaps)[: RANGES - 1], 0, len(ids)])
+    near = [row.between(ids[a], ids[b - 1]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+    while len(near) > 1:  # a balanced tree, whatever the number
+        near = [near[i] | near[i + 1] if i + 1 < len(near) else near[i] for i in range(0, len(near), 2)]
+    return near[0] & row.isin(ids)
+
+
 def not_like(df: DataFrame, text: str, pattern: str | None, escape: str = "\\", fold: bool = False) -> DataFrame:
     """NOT LIKE is a filter: no index can rule rows in. A null pattern keeps nothing."""
     if pattern is None:

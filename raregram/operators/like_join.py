@@ -18,7 +18,7 @@ def like_join(df: DataFrame, row_id: str, text: str, patterns: DataFrame, patter
 
     Patterns with keys meet postings in an equi-join on the key; a pair stays a candidate where all
     keys of its pattern met. Patterns without keys are tested together in one scan, as an array
-    in the row's expression. Null patterns match nothing.
+    that is sent to every task. Null patterns match nothing.
     """
     spark = df.sparkSession
     rows = [(r[0], r[1]) for r in patterns.select(pattern_id, pattern).where(F.col(pattern).isNotNull()).limit(MOST_PATTERNS + 1).collect()]
@@ -28,7 +28,7 @@ def like_join(df: DataFrame, row_id: str, text: str, patterns: DataFrame, patter
     closed = frozenset(index.options.closed)
     keyed, bare = [], []
     for i, p in rows:
-        k = pattern_keys(p, index.options, closed=closed)
+        k = pattern_keys(p, index.options, closed=closed, fold=fold)
         (keyed if k else bare).append((i, normalise(p), k))
     operator = "ILIKE" if fold else "LIKE"
     base = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
@@ -40,8 +40,9 @@ def like_join(df: DataFrame, row_id: str, text: str, patterns: DataFrame, patter
         pairs = hits.where("k = n or odd").select("pattern_id", "row_id").join(table.select("pattern_id", "pattern"), "pattern_id")
         parts.append(pairs.join(base, "row_id").where(F.expr(f"text {operator} pattern")).select("pattern_id", "row_id"))
     if bare:
-        all_ = F.array(*[F.struct(F.lit(i).cast(kind).alias("i"), F.lit(p).alias("p")) for i, p, _ in bare])
-        tested = base.withColumn("_p", all_).select("row_id", F.explode(F.expr(f"filter(_p, x -> text {operator} x.p)")).alias("m"))
+        # one row that holds all of them goes to every task
+        one = spark.createDataFrame([([(i, p) for i, p, _ in bare],)], f"_p array<struct<i:{kind},p:string>>")
+        tested = base.join(F.broadcast(one), how="cross").select("row_id", F.explode(F.expr(f"filter(_p, x -> text {operator} x.p)")).alias("m"))
         parts.append(tested.select(F.col("m.i").alias("pattern_id"), "row_id"))
     if not parts:
         return base.where(F.lit(False)).select(F.lit(None).cast(kind).alias("pattern_id"), "row_id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raregram.functions.patterns import keys as pattern_keys
+from raregram.functions.sql import register
 from raregram.functions.words import all_present, compare, gram_text, sorted_keys, words
 from raregram.operators import (
     Frequencies,
@@ -17,16 +20,18 @@ from raregram.operators import (
     gram_frequencies,
     like_join,
     like_share,
+    like_share_of,
     not_like,
     qgram_stat,
     rare_grams,
     rare_grams_udf,
+    store_rows,
 )
 from raregram.operators.extract import word_occurrences
-from raregram.operators.statistics import frequent_grams
+from raregram.operators.statistics import frequent_grams, read_stats, write_stats
 from raregram.options import GramOptions
 from raregram.plans.access import search as planned_search
-from raregram.sources import parquet_table
+from raregram.sources import parquet_table, scratch_dir, spread, text_lines, write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,12 +39,33 @@ MIN_Q, MAX_Q, THRESHOLD = 2, 4, 0.05
 #: Patterns that the estimates and the join are run for.
 PATTERNS = ["%the%", "%tion%", "% of the %", "%th_re%", "%zz%", "%license%", "the%", "%xi%", "%", "%QUALITY%", "%\\_%", "a%b"]
 
+#: U+212A lower-cases to k.
+ODD_TEXTS = ["abkcd", "ab\u212acd", "abxcd", "AB\u212a", "\u212a", "k", "abk cd", "wor\u212aing", "working"]
+ODD_PATTERNS = ["%ab\u212acd%", "%abkcd%", "\u212a", "k", "%\u212acd", "wor\u212aing", "%king%", "ab\u212a%"]
+
 #: Words of a column, each padded; lower-casing comes after the words are cut out.
 SQL_WORDS = "list_transform(regexp_extract_all({text}, '[A-Za-z0-9]+'), lambda w: '$' || lower(w) || '$')"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet_table(spark, sf_dir, "documents")
+    return spread(parquet_table(spark, sf_dir, "documents"))
+
+
+_stored: dict[tuple, tuple[str, str]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, table: str, row: str, text: str, options: GramOptions | None = None) -> tuple[GramIndex, DataFrame]:
+    """The index of a column and its table laid out by row, built once in a session and searched as stored."""
+    key = (spark.sparkContext.applicationId, sf_dir, table, text, options)
+    if key not in _stored:
+        df = parquet_table(spark, sf_dir, table).select(row, text)
+        root = f"{scratch_dir(spark)}/raregram-index-{uuid.uuid4().hex}"
+        store_rows(df, row, f"{root}/rows")
+        df = spread(df)
+        GramIndex.build(df, row, text, options or _options(df, text)).write(f"{root}/index")
+        _stored[key] = f"{root}/index", f"{root}/rows"
+    index, rows = _stored[key]
+    return GramIndex.read(spark, index), spark.read.parquet(rows)
 
 
 def _frequent(df: DataFrame, text: str = "text") -> tuple[str, ...]:
@@ -154,8 +180,7 @@ def trigram_index_postings(spark, sf_dir):
 
 def _searched(pattern: str | None, fold: bool = False, escape: str = "\\", table: str = "documents", row: str = "doc_id", text: str = "text", options: GramOptions | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = parquet_table(spark, sf_dir, table).select(row, text)
-        index = GramIndex.build(df, row, text, options or _options(df, text))
+        index, df = stored(spark, sf_dir, table, row, text, options)
         return index.search(df, row, text, pattern, escape, fold).select(row)
 
     return run
@@ -199,9 +224,9 @@ def like_join_patterns(spark, sf_dir):
 
 
 def ilike_join_benchmark(spark, sf_dir):
-    """Documents that hold the first words of a benchmark item: one pattern for each item."""
+    """Documents that hold a benchmark item: one pattern of the whole text for each item."""
     df = _docs(spark, sf_dir)
-    items = parquet_table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("%"), F.substring("text", 1, 40), F.lit("%")).alias("pattern"))
+    items = parquet_table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("%"), F.regexp_replace("text", r"([%_\\])", r"\\$1"), F.lit("%")).alias("pattern"))
     return like_join(df, "doc_id", "text", items, "item_id", "pattern", GramIndex.build(df, "doc_id", "text", GramOptions(3, 3)), fold=True).select(F.col("pattern_id").alias("item_id"), F.col("row_id").alias("doc_id"))
 
 
@@ -239,6 +264,82 @@ def gram_compare_sort(spark, sf_dir):
     return df.join(other, how="cross").select("n_name", "other", compare(F.col("n_name"), F.col("other")).cast("long").alias("cmp"))
 
 
+def rollup_by_role(spark, sf_dir):
+    """Gram frequencies of conversation turns by role and over all, every gram of every word."""
+    df = parquet_table(spark, sf_dir, "conversations")
+    return gram_frequencies(df, "text", MIN_Q, MAX_Q, by=["role"]).rollup("role", "gram").agg(F.sum("df").alias("df")).where("role is not null or gram is null")
+
+
+def index_probe(spark, sf_dir):
+    """A search by the two rarest keys alone."""
+    index, df = stored(spark, sf_dir, "documents", "doc_id", "text")
+    return index.like(df, "doc_id", "text", "%quality%license%", probe=2).select("doc_id")
+
+
+def index_dropped(spark, sf_dir):
+    """Whether an index is there to drop, and again."""
+    path = f"{scratch_dir(spark)}/raregram-index-{uuid.uuid4().hex}"
+    GramIndex.build(parquet_table(spark, sf_dir, "nation"), "n_nationkey", "n_name", GramOptions(3, 3)).write(path)
+    return spark.createDataFrame([(i, GramIndex.drop(spark, path)) for i in (1, 2)], "turn long, dropped boolean")
+
+
+def statistics_store(spark, sf_dir):
+    """Column statistics written and read again."""
+    path = f"{scratch_dir(spark)}/raregram-stats-{uuid.uuid4().hex}"
+    write_stats(analyze(_docs(spark, sf_dir), "text"), path)
+    return read_stats(spark, path).grams.select("gram", F.round(F.col("freq").cast("double"), 6).alias("freq"))
+
+
+def like_share_table(spark, sf_dir):
+    """Estimates for a column of patterns."""
+    stats = Frequencies.of(analyze(_docs(spark, sf_dir), "text"))
+    rows = spark.createDataFrame([(p,) for p in ("%the%", "%tion%", "%zz%", "%an%", "%a%", "%")], "pattern string")
+    return rows.select("pattern", F.round(like_share_of(F.col("pattern"), stats), 4).alias("share"))
+
+
+def text_lines_round_trip(spark, sf_dir):
+    """Texts written as lines of the bulk format and read again."""
+    path = f"{scratch_dir(spark)}/raregram-lines-{uuid.uuid4().hex}"
+    write_lines(parquet_table(spark, sf_dir, "documents").select(F.col("text").alias("s")), path)
+    return text_lines(spark, path)
+
+
+def ilike_odd_case(spark, sf_dir):
+    """Texts and patterns with letters whose lower case is an ASCII letter, by the index."""
+    rows = [(i, t) for i, t in enumerate(ODD_TEXTS)]
+    df = spark.createDataFrame(rows, "row_id long, s string")
+    index = GramIndex.build(df, "row_id", "s", GramOptions(2, 4))
+    out = [index.ilike(df, "row_id", "s", p).select(F.lit(p).alias("pattern"), "row_id") for p in ODD_PATTERNS]
+    joined = like_join(df, "row_id", "s", spark.createDataFrame(list(enumerate(ODD_PATTERNS)), "i long, p string"), "i", "p", index, fold=True)
+    both = out[0]
+    for o in out[1:]:
+        both = both.unionByName(o)
+    patterns = spark.createDataFrame([(i, p) for i, p in enumerate(ODD_PATTERNS)], "pattern_id long, pattern string")
+    return both.withColumn("way", F.lit("index")).unionByName(joined.join(patterns, "pattern_id").select("pattern", "row_id", F.lit("join").alias("way")))
+
+
+def index_options(spark, sf_dir):
+    """Options and what is said of bad ones."""
+    rows = []
+    for low, high in ((2, 5), (-1, 2), (2, 11), (4, 2)):
+        try:
+            o = GramOptions(low, high)
+            rows.append((low, high, f"{o.min_q} {o.max_q} {len(o.frequent)}"))
+        except ValueError as e:
+            rows.append((low, high, str(e)))
+    return spark.createDataFrame(rows, "minq long, maxq long, said string")
+
+
+def _sql(text: str) -> Query:
+    """A query by the SQL names of the functions; ``{table}`` is the Parquet file of a table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark)
+        return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
+
+    return run
+
+
 def pattern_key_table(spark, sf_dir):
     """Keys of patterns under plain three-character grams."""
     rows = [(p, " ".join(pattern_keys(p, GramOptions(3, 3)))) for p in PATTERNS]
@@ -261,7 +362,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         words_per_doc, qgram_df_2_4, qgram_stat_global, qgram_stat_by_lang, qgram_stat_null_rows, qgram_stat_rollup, rare_grams_part_name, rare_grams_documents, rare_grams_given, first_rare, index_postings,
         index_posting_lengths, index_rows_without_keys, index_row_keys, trigram_index_postings, index_candidates, like_join_patterns, ilike_join_benchmark, planned_like, gram_text_like, analyze_grams,
-        analyze_summary, like_selectivity, gram_compare_sort, pattern_key_table,
+        analyze_summary, like_selectivity, gram_compare_sort, pattern_key_table, rollup_by_role, index_probe, index_dropped, statistics_store, like_share_table, text_lines_round_trip,
+        ilike_odd_case, index_options,
     )
 }
 QUERIES["frequent_grams"] = lambda spark, sf_dir: flagship(spark, sf_dir)
@@ -270,6 +372,12 @@ QUERIES["like_escape"] = _searched("%/_%", escape="/", table="pages", row="page_
 QUERIES["ilike_escape"] = _searched("%T%!%%", fold=True, escape="!", table="pages", row="page_id", text="html", options=GramOptions(3, 3))
 QUERIES["like_exact"] = _searched("NATION\\_3", table="nation", row="n_nationkey", text="n_name", options=GramOptions(3, 3))
 QUERIES["like_null_pattern"] = _searched(None)
+QUERIES["sql_gram_like"] = _sql(r"SELECT doc_id FROM {documents} WHERE gram_like(text, r'%\l\icense%')")
+QUERIES["sql_gram_ilike"] = _sql("SELECT doc_id FROM {documents} WHERE gram_ilike(text, '%OF THE%')")
+QUERIES["sql_gram_cmp"] = _sql("SELECT r_name, CAST(gram_cmp(r_name, 'ASIA') AS BIGINT) AS cmp FROM {region}")
+QUERIES["sql_gram_keys"] = _sql("SELECT item_id, array_join(gram_keys(concat('%', regexp_extract(text, '[a-z]{5,}', 0), '%'), 3, 3, array()), ' ') AS keys FROM {benchmark}")
+QUERIES["sql_gram_stat"] = _sql("SELECT gram, sum(df) AS df FROM {benchmark}, LATERAL gram_stat(text, 2, 3) GROUP BY gram")
+QUERIES["sql_qgram_stat"] = _sql("SELECT role, array_join(qgram_stat(text, 2, 4, 0.3D), ' ') AS grams FROM {conversations} GROUP BY role")
 QUERIES["not_like"] = lambda spark, sf_dir: not_like(_docs(spark, sf_dir), "text", "%the%").select("doc_id")
 
 _F = sql_frequent("documents", "text", "doc_id")
@@ -333,9 +441,33 @@ SELECT a.pattern, coalesce(string_agg(DISTINCT gram, ' ' ORDER BY gram), '') AS
     "ilike_escape": "SELECT page_id FROM pages WHERE html ILIKE '%T%!%%' ESCAPE '!'",
     "like_exact": "SELECT n_nationkey FROM nation WHERE n_name LIKE 'NATION_3' AND n_name = 'NATION_3'",
     "like_null_pattern": "SELECT doc_id FROM documents WHERE text LIKE NULL",
+    "rollup_by_role": f"""WITH {sql_grams('conversations', 'text', 2, 4, 'conv_id, turn, role')},
+o AS (SELECT DISTINCT conv_id, turn, role, gram FROM g)
+SELECT role, gram, count(*) AS df FROM o GROUP BY ROLLUP (role, gram) HAVING role IS NOT NULL OR gram IS NULL""",
+    "index_probe": _like_sql("%quality%license%", False),
+    "index_dropped": "SELECT * FROM (VALUES (1::BIGINT, true), (2::BIGINT, false)) v(turn, dropped)",
+    "text_lines_round_trip": "SELECT text AS s FROM documents",
+    "ilike_odd_case": "",
+    "index_options": """SELECT * FROM (VALUES (2::BIGINT, 5::BIGINT, '2 5 0'), (-1, 2, 'value -1 out of bounds for option "minq": valid values are between "1" and "10"'),
+(2, 11, 'value 11 out of bounds for option "maxq": valid values are between "1" and "10"'), (4, 2, '"minq" must not be greater than "maxq"')) v(minq, maxq, said)""",
+    "sql_gram_like": _like_sql("%license%", False),
+    "sql_gram_ilike": _like_sql("%of the%", True),
+    "sql_gram_cmp": "SELECT r_name, (CASE WHEN r_name < 'ASIA' THEN -1 WHEN r_name > 'ASIA' THEN 1 ELSE 0 END)::BIGINT AS cmp FROM region",
+    "sql_gram_keys": """WITH p AS (SELECT item_id, regexp_extract(text, '[a-z]{5,}', 0) AS s FROM benchmark),
+g AS (SELECT DISTINCT item_id, substr(s, p, 3) AS gram FROM p, range(1, 100) r(p) WHERE p + 2 <= length(s))
+SELECT item_id, coalesce(string_agg(gram, ' ' ORDER BY gram), '') AS keys FROM p LEFT JOIN g USING (item_id) GROUP BY item_id""",
+    "sql_gram_stat": f"WITH {sql_grams('benchmark', 'text', 2, 3, 'item_id')} SELECT gram, count(DISTINCT item_id)::BIGINT AS df FROM g GROUP BY gram",
+    "sql_qgram_stat": f"""WITH {sql_grams('conversations', 'text', 2, 4, 'conv_id, turn, role')},
+c AS (SELECT role, gram, count(*) AS df FROM (SELECT DISTINCT conv_id, turn, role, gram FROM g) GROUP BY role, gram),
+n AS (SELECT role, count(*) AS rows FROM conversations GROUP BY role)
+SELECT role, string_agg(gram, ' ' ORDER BY gram) AS grams FROM c JOIN n USING (role) WHERE df >= floor((rows - 1) * 0.3::DOUBLE) GROUP BY role""",
     "not_like": "SELECT doc_id FROM documents WHERE text NOT LIKE '%the%' ESCAPE '\\'",
 }
 ORACLES |= {name: _like_sql(p, fold) for name, (p, fold) in _LIKES.items()}
+ORACLES["statistics_store"], ORACLES["like_share_table"] = ORACLES["analyze_grams"], ORACLES["like_selectivity"]
+# U+212A is written as the k that both sides fold it to
+ORACLES["ilike_odd_case"] = f"""WITH t(row_id, s) AS (VALUES {", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(ODD_TEXTS))}), p(pattern) AS (VALUES {", ".join(f"('{p}')" for p in ODD_PATTERNS)})
+SELECT pattern, row_id, way FROM t, p, (VALUES ('index'), ('join')) w(way) WHERE replace(s, '\u212a', 'k') ILIKE replace(pattern, '\u212a', 'k')"""
 
 
 def _ordered(table: str, key: str, text: str) -> str:

@@ -1,5 +1,5 @@
 """Tables of texts."""
 
-from raregram.sources.text import parquet_table, text_lines, write_lines
+from raregram.sources.text import parquet_table, scratch_dir, spread, text_lines, write_lines
 
-__all__ = ["parquet_table", "text_lines", "write_lines"]
+__all__ = ["parquet_table", "scratch_dir", "spread", "text_lines", "write_lines"]
