@@ -18,6 +18,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,9 +37,11 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{48,}|[0-9A-F]{48,})(?![0-9A-Fa-f])")
+_EDGE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+# Lines of base64 that follow each other are one candidate; a line break may be written as its escape.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}+(?:(?:\\r|\r)?(?:\\n|\n)[\x20\t]*[A-Za-z0-9+/_-]{4,}+)*+={0,2}")
+_LINE_END = re.compile(r"(?:\\r|\r)?(?:\\n|\n)[\x20\t]*|\s+")
+_ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}+")
 _SSH_MAGIC = b"openssh-key-v1\0"
 
 SCHEMA = T.StructType([
@@ -60,7 +63,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _b64(s: str) -> bytes | None:
-    s = re.sub(r"\s+", "", s).rstrip("=").translate(str.maketrans("-_", "+/"))
+    s = _LINE_END.sub("", s).rstrip("=").translate(str.maketrans("-_", "+/"))
     if len(s) % 4 == 1:
         return None
     try:
@@ -158,25 +161,53 @@ def _kind(data: bytes | None, depth: int = 0) -> str | None:
         s = data.decode("ascii")
         if is_signed_token(s.strip()):
             return "jwt"
-        if (m := _ARMOUR.search(s)) and _kind(_b64(m[2]), 1):
+        if any(_is_key_body(s[a:b]) for _, _, a, b in _armoured(s)):
             return "pem"
     return None
 
 
+def _armoured(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, start and end of the body) from each first mark of a kind to the next end of that kind, in one pass."""
+    opened: dict[str, re.Match] = {}
+    for m in _EDGE.finditer(text):
+        if m[1] == "BEGIN":
+            opened.setdefault(m[2], m)
+        elif m[2] in opened:
+            first = opened[m[2]]
+            yield first.start(), m.end(), first.end(), m.start()
+            opened.clear()  # what was opened inside is inside
+
+
+def _is_key_body(body: str) -> bool:
+    """Armoured base64 of a key; with header lines it may be encrypted, so only its encoding is checked."""
+    if ":" not in body:
+        return bool(_kind(_b64(body), 1))
+    return bool(_b64(_LINE_END.sub("\n", body).rstrip("\n").rpartition("\n\n")[2] or body.rpartition("\n\n")[2]))
+
+
 def confirmed_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if "." in text:
         out += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     inside = []
     if "-----BEGIN" in text:
-        for m in _ARMOUR.finditer(text):
-            body = m[2].rpartition("\n\n")[2] if ":" in m[2] else m[2]
-            if _kind(_b64(body), 1) or ":" in m[2] and _b64(body):
-                out.append(("pem", *m.span()))
-                inside.append(m.span())
+        for start, end, a, b in _armoured(text):
+            if _is_key_body(text[a:b]):
+                out.append(("pem", start, end))
+                inside.append((start, end))
     for m in _BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside) and (k := _kind(_b64(m[0]))):
+        at = bisect(inside, (m.start(), len(text) + 1))
+        if at and m.start() < inside[at - 1][1]:
+            continue
+        if k := _kind(_b64(m[0])):
             out.append((k, *m.span()))
+        elif _LINE_END.search(m[0]):  # each line by itself
+            start = m.start()
+            for cut in (*_LINE_END.finditer(m[0]), None):
+                end = m.start() + cut.start() if cut else m.end()
+                if end - start >= 32 and (k := _kind(_b64(text[start:end]))):
+                    out.append((k, start, end))
+                start = m.start() + cut.end() if cut else end
     for m in _ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (k := _kind(bytes.fromhex(m[0]))):
             out.append((k, *m.span()))

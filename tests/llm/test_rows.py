@@ -353,3 +353,69 @@ def test_pii_rows(spark, edges, empty, tagger):
     assert (r["n_email"], r["n_ip"], r["spans"]) == (1, 1, "email:11:31,ip:35:43")
     assert sorted(tuple(x) for x in pii.redact(docs, tagger).collect()) == [(1, "é write to [EMAIL] or [IP].", "k"), (2, None, "k"), (3, "nothing here", "k")]
     assert isinstance(pii.learn(empty), pii.Tagger)
+
+
+def test_patterns_are_linear():
+    import time
+
+    bits = ["1", "a", "a.", "1.", "1 ", "@a", "a@", "+1", "+1(", "a@b.", "- ", "-----BEGIN PRIVATE KEY-----", "A/", "Ab\n" * 40]
+    for b in bits:
+        t = b * (2_000_000 // len(b))
+        start = time.perf_counter()
+        pii.base_spans(t)
+        secret_scan.base_spans(t)
+        secret_scan.confirmed_spans(t)
+        assert time.perf_counter() - start < 20, b
+
+
+def test_one_model_on_every_processor():
+    """Training under the kernels of different processors gives the same weights."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import hashlib; from raregram.llm import pii; m = pii._fit(['the quick brown fox ' * 20], 5, 40); print(hashlib.sha256(b''.join(x.tobytes() for x in (*m.inputs, *m.recur, m.emit, m.bias, m.trans))).hexdigest())"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = {subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True, env=os.environ | {"OPENBLAS_CORETYPE": k}).stdout for k in ("Haswell", "SkylakeX", "Zen", "Prescott")}
+    assert len(said) == 1
+
+
+def test_tagger_adds_spans_that_no_pattern_finds(tagger):
+    """Spellings outside the base patterns, set into clean texts: most are found whole, and nothing else is."""
+    rng, r = random.Random(70), np.random.default_rng(71)
+    texts, gold = [], []
+    while len(texts) < 200:
+        kind, s = pii._span(r)
+        lead = prose(rng, rng.randint(20, 120))
+        t = f"{lead} {s} {prose(rng, 30)}"
+        if not pii.base_spans(t):
+            texts.append(t)
+            gold.append((kind, len(lead) + 1, len(lead) + 1 + len(s)))
+    found = other = 0
+    for (_, spans), (kind, a, b) in zip(pii.all_spans(texts, tagger), gold, strict=True):
+        found += any(k == kind and x <= a and y >= b for k, x, y in spans)
+        other += sum(y <= a or x >= b for _, x, y in spans)
+    assert found >= 180 and other <= 4
+    assert pii.tag_texts(["at " * 300, "of at. at. at. at. " * 30], tagger) == [[], []]
+
+
+def test_spans_at_every_offset_around_a_seam(tagger):
+    rng = random.Random(72)
+    found = 0
+    for at in range(pii.WINDOW - pii.OVERLAP - 60, pii.WINDOW + 10, 6):
+        t = f"{prose(rng, 200)[:at]} mary.jones (at) mailhub (dot) org {prose(rng, 80)}"
+        found += any(k == "email" and "jones" in t[a:b] and "org" in t[a:b] for k, a, b in pii.tag_texts([t], tagger)[0])
+    assert found >= 24  # of 28
+
+
+@pytest.mark.parametrize("text", ["{}", "k = \"{}\";", "x {} y"])
+def test_keys_over_several_lines(text):
+    body = b64(rsa_key())
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    for end in ("\n", "\r\n", "\\n"):
+        t = text.format(end.join(lines))
+        assert [k for k, _, _ in secret_scan.confirmed_spans(t)] == ["der"], (end, t)
+        pem = text.format("-----BEGIN RSA PRIVATE KEY-----" + end + end.join(lines) + end + "-----END RSA PRIVATE KEY-----")
+        assert [k for k, _, _ in secret_scan.confirmed_spans(pem)] == ["pem"]
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(rsa_key().hex()))
+    assert [k for k, _, _ in secret_scan.confirmed_spans(text.format(mixed))] == ["der"]
