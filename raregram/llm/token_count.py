@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from raregram.llm.common import arrow_map
 
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 10
+CHUNK_CHARS = 1 << 13
+OVERLAP_CHARS = 1 << 8
 #: Fixed value: the special token of byte_bpe_50k.json and its id.
 SPECIAL = {"<|endoftext|>": 50256}
 #: White space and word ends on which every encoding must break.
