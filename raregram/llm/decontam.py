@@ -7,7 +7,8 @@ A word outside the benchmark's vocabulary resets the automaton to its root, so o
 vocabulary words at least as long as the shortest window need streaming.
 
 The benchmark is read once and its words are counted; beyond ``chunk_words`` it is dealt into several automata,
-each sent out and passed over the documents by itself, and their findings are united by document.
+each sent out and passed over the documents by itself, and their findings are united by 128 bits of the document. The driver
+holds the words of one automaton at a time, a task those of its own.
 
 Behaviour: null and empty texts have no words; items without words have no windows; repeated
 items count by their ids, and items without an id mark words only; repeated rows and null ids are kept; an empty table of either kind
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from raregram.llm.common import arrow_map, text_slices, utf8_rows, words_of
+from raregram.llm.common import arrow_map, free_name, row_key, text_slices, utf8_rows, words_of
 
 WINDOW = 8
 CHUNK_WORDS = 1_000_000
@@ -159,19 +160,18 @@ class Automaton:
         return out
 
 
-def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> list[list[tuple[object, np.ndarray]]]:
-    """Benchmark items as word hashes, in chunks of at most about ``chunk_words`` words."""
-
-    chunks: list[list] = [[]]
+def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> Iterator[list[tuple[object, np.ndarray]]]:
+    """Benchmark items as word hashes, in chunks of at most about ``chunk_words`` words, one chunk at a time."""
+    chunk: list = []
     n = 0
     for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
         _, _, h, _ = words_of(*utf8_rows(pa.array([r["t"]])))
         if n and n + len(h) > chunk_words:
-            chunks.append([])
-            n = 0
-        chunks[-1].append((r["i"], h))
+            yield chunk
+            chunk, n = [], 0
+        chunk.append((r["i"], h))
         n += len(h)
-    return chunks
+    yield chunk
 
 
 def digest(items: list) -> str:
@@ -184,37 +184,61 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_SPANS_DDL = "array<struct<a:long,b:long>>"
+
+
+def _sent(spark: SparkSession, benchmark: DataFrame, chunk_words: int) -> list:
+    """The items of each automaton, as files that Spark sends; the driver holds one chunk at a time."""
+    return [spark.sparkContext.broadcast(chunk) for chunk in load_items(benchmark, chunk_words=chunk_words)]
+
+
+def _found(rows: DataFrame, shared, window: int, keys: tuple[str, ...], only_hits: bool) -> DataFrame:
+    """(keys..., n_words, spans of hit words, items) by one automaton, of all rows of (keys..., text) or of those with hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = Automaton(shared.value, window)
+        none = (np.zeros(0, bool), set())
+        for batch in batches:
+            for part in text_slices(batch):
+                _, _, h, offs = words_of(*utf8_rows(part.column("text")))
+                found = auto.find(h, offs)
+                at = sorted(found) if only_hits else range(part.num_rows)
+                spans = [[{"a": a, "b": b} for a, b in _runs(found.get(i, none)[0])] for i in at]
+                items = [sorted(str(x) for x in found.get(i, none)[1] if x is not None) for i in at]
+                take = pa.array(at, pa.int64())
+                yield pa.record_batch([*[part.column(k).take(take) for k in keys], pa.array(np.diff(offs).astype(np.int64)).take(take), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=[*keys, "n_words", "spans", "items"])
+
+    return rows.transform(arrow_map, run, f"{', '.join(k + ' long' for k in keys)}, n_words long, spans {_SPANS_DDL}, items array<string>")
+
+
+def _united(rows: DataFrame, sent: list, window: int) -> DataFrame:
+    """(k1, k2, spans, items) of the rows (k1, k2, text) that any automaton hits; rows that are alike count once."""
+    out = None
+    for shared in sent:
+        one = _found(rows, shared, window, ("k1", "k2"), True)
+        out = one if out is None else out.unionByName(one)
+    each = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    return out.groupBy("k1", "k2").agg(each("spans"), each("items"))
+
+
 def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(doc_id, n_words, spans of hit words, items) of each document."""
-    spark = docs.sparkSession
-    chunks = load_items(benchmark, chunk_words=chunk_words)
+    sent = _sent(docs.sparkSession, benchmark, chunk_words)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = []
-    for chunk in chunks:
-        shared = spark.sparkContext.broadcast(chunk)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            auto = Automaton(shared.value, window)
-            for batch in batches:
-                for part in text_slices(batch):
-                    _, _, h, offs = words_of(*utf8_rows(part.column("text")))
-                    found = auto.find(h, offs)
-                    none = (np.zeros(0, bool), set())
-                    spans = [[{"a": a, "b": b} for a, b in _runs(found.get(i, none)[0])] for i in range(part.num_rows)]
-                    items = [sorted(str(x) for x in found.get(i, none)[1] if x is not None) for i in range(part.num_rows)]
-                    yield pa.record_batch([part.column("doc_id"), part.column("hash"), pa.array(np.diff(offs).astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "hash", "n_words", "spans", "items"])
-
-        # the text's hash tells rows of one id apart where several automata must be united
-        hashed = rows.withColumn("hash", F.xxhash64("text") if len(chunks) > 1 else F.lit(0).cast("long"))
-        parts.append(hashed.transform(arrow_map, run, "doc_id long, hash long, n_words long, spans array<struct<a:long,b:long>>, items array<string>").withColumn("pass", F.lit(len(parts))))
-    out = parts[0]
-    if len(parts) == 1:
-        return out.select("doc_id", "n_words", "spans", "items")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # rows alike in id and text have alike findings in each pass: unite one of each, and give it as often as there are rows
-    by = out.groupBy("doc_id", "hash").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum((F.col("pass") == 0).cast("int")).alias("times"))
-    return by.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+    if len(sent) == 1:
+        return _found(rows, sent[0], window, ("doc_id",), False)
+    rows = rows.select("*", *row_key("doc_id", "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                offs = words_of(*utf8_rows(part.column("text")))[3]
+                yield pa.record_batch([part.column(k) for k in ("doc_id", "k1", "k2")] + [pa.array(np.diff(offs).astype(np.int64))], names=["doc_id", "k1", "k2", "n_words"])
+
+    words = rows.transform(arrow_map, count, "doc_id long, k1 long, k2 long, n_words long")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return words.join(_united(rows.select("k1", "k2", "text"), sent, window), ["k1", "k2"], "left").select("doc_id", "n_words", none("spans", _SPANS_DDL), none("items", "array<string>"))
 
 
 def measure(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -237,60 +261,61 @@ def measure(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """All columns of ``docs`` without hit spans in the text.
 
-    Documents of which hit words are ``max_coverage`` or more are removed whole. With several automata
-    each adds its spans of the uncut text to a column; the last cuts the union and judges coverage of the whole text.
+    Documents of which hit words are ``max_coverage`` or more are removed whole. Spans are of the uncut text, and
+    coverage of the whole text; with several automata their findings are united first, so the result is the same.
     """
-    chunks = load_items(benchmark, chunk_words=chunk_words)
-    schema, out = docs.schema, docs
-    for k, chunk in enumerate(chunks):
-        out = _remove_pass(out, schema, chunk, text_col, n_chars_col, window, max_coverage, first=k == 0, last=k == len(chunks) - 1)
-    return out
-
-
-def _remove_pass(rows: DataFrame, schema: T.StructType, chunk: list, text_col: str, n_chars_col: str | None, window: int, max_coverage: float, first: bool, last: bool) -> DataFrame:
-    """Unite the spans of one automaton with those of the passes before, in a last column; the last pass cuts."""
-    shared = rows.sparkSession.sparkContext.broadcast(chunk)
-    names = schema.names
+    sent = _sent(docs.sparkSession, benchmark, chunk_words)
+    names = docs.columns
     at = names.index(text_col)
     size_at = names.index(n_chars_col) if n_chars_col in names else None
-    extra = "_" * (1 + max(map(len, names)))  # a name that no column has
-    span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = Automaton(shared.value, window)
+    def cut(part: pa.RecordBatch, found: dict[int, np.ndarray], data, offs, start, end, wo) -> pa.RecordBatch:
+        cols = list(part.columns)[: len(names)]
+        keep = np.ones(part.num_rows, bool)
+        texts = part.column(at).to_pylist() if found else None
+        for i, mask in found.items():
+            if mask.mean() >= max_coverage:
+                keep[i] = False
+                continue
+            out, done = [], int(offs[i])
+            for a, b in _runs(mask):
+                out.append(data[done : start[wo[i] + a]].tobytes())
+                done = int(end[wo[i] + b - 1])
+            texts[i] = b"".join([*out, data[done : offs[i + 1]].tobytes()]).decode()
+        if found:
+            cols[at] = pa.array(texts, pa.string())
+            if size_at is not None:
+                sizes = part.column(size_at).to_pylist()
+                for i in found:
+                    sizes[i] = len(texts[i])
+                cols[size_at] = pa.array(sizes, part.column(size_at).type)
+        return pa.record_batch(cols, names=names).filter(pa.array(keep))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = Automaton(sent[0].value, window)
         for batch in batches:
             for part in text_slices(batch, text_col):
                 data, offs = utf8_rows(part.column(at))
                 start, end, h, wo = words_of(data, offs)
-                found = {i: mask for i, (mask, _) in auto.find(h, wo).items()}
-                cols = list(part.columns)
-                if not first:
-                    for i, spans in enumerate(cols.pop().to_pylist()):
-                        for x in spans:
-                            found.setdefault(i, np.zeros(wo[i + 1] - wo[i], bool))[x["a"] : x["b"]] = True
-                if not last:
-                    spans = [[{"a": a, "b": b} for a, b in _runs(found[i])] if i in found else [] for i in range(part.num_rows)]
-                    yield pa.record_batch([*cols, pa.array(spans, span_type)], names=[*names, extra])
-                    continue
-                texts = part.column(at).to_pylist() if found else None
-                keep = np.ones(part.num_rows, bool)
-                for i, mask in found.items():
-                    if mask.mean() >= max_coverage:
-                        keep[i] = False
-                        continue
-                    out, done = [], int(offs[i])
-                    for a, b in _runs(mask):
-                        out.append(data[done : start[wo[i] + a]].tobytes())
-                        done = int(end[wo[i] + b - 1])
-                    texts[i] = b"".join([*out, data[done : offs[i + 1]].tobytes()]).decode()
-                if found:
-                    cols[at] = pa.array(texts, pa.string())
-                    if size_at is not None:
-                        sizes = part.column(size_at).to_pylist()
-                        for i in found:
-                            sizes[i] = len(texts[i])
-                        cols[size_at] = pa.array(sizes, part.column(size_at).type)
-                yield pa.record_batch(cols, names=names).filter(pa.array(keep))
-
-    spans = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    return rows.transform(arrow_map, run, schema if last else T.StructType([*schema.fields, T.StructField(extra, spans)]))
+                yield cut(part, {i: mask for i, (mask, _) in auto.find(h, wo).items()}, data, offs, start, end, wo)
+
+    if len(sent) == 1:
+        return docs.transform(arrow_map, stream, docs.schema)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, text_col):
+                data, offs = utf8_rows(part.column(at))
+                start, end, _, wo = words_of(data, offs)
+                found: dict[int, np.ndarray] = {}
+                for i, spans in enumerate(part.column(len(names)).to_pylist()):
+                    for x in spans or ():
+                        found.setdefault(i, np.zeros(wo[i + 1] - wo[i], bool))[x["a"] : x["b"]] = True
+                yield cut(part, found, data, offs, start, end, wo)
+
+    k1, k2, extra = free_name(names, "k1"), free_name(names, "k2"), free_name(names, "spans")
+    a, b = row_key(F.col(text_col))  # spans depend on the text alone
+    keyed = docs.withColumns({k1: a, k2: b})
+    hits = _united(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(text_col).alias("text")), sent, window)
+    hits = hits.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(extra))
+    return keyed.join(hits, [k1, k2], "left").select(*names, extra).transform(arrow_map, apply, docs.schema)
