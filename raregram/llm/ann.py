@@ -13,8 +13,8 @@ gave at least ``least`` codes, so a query always has as many results as there ar
 Copies of one vector are one row of the index that keeps its ids in order; no more than ``k + 1`` of them can
 be results of a query, so a crowd of copies costs what one vector costs.
 
-The queries are a stated set; they are sent in blocks of a fixed size to blocks of rows, and each pair of blocks
-gives its best ``k``, of which the best ``k`` are kept. There is no all-pairs table.
+The queries are a stated set. Rows are shuffled once, into blocks of a fixed size with an index each; every block
+answers the stream of queries with its best ``k``, of which the best ``k`` of all blocks are kept. There is no all-pairs table.
 
 Behaviour: vectors that are null, empty, zero, of a length other than the commonest one, or hold a null or
 non-finite number take no part; ties go to the smaller id; rows alike in id and vector count once, as queries
@@ -23,6 +23,7 @@ and as neighbours; other repeated ids are rows of their own, but never neighbour
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from raregram.llm.common import materialize, ship
+from raregram.llm.common import arrow_map, materialize
 
 K = 20
 BITS, PARTS = 64, 8
 SAMPLE_ROWS = 4000
-QUERY_BLOCK, ROW_BLOCK = 2048, 32768
+ROW_BLOCK = 16384
 #: Share of the sample's true neighbours that lie within the first radius.
 COVER = 0.97
 ITERATIONS = 20
@@ -124,25 +125,30 @@ class Index:
         return rows[far <= radius]
 
 
-def search_block(ids: list[np.ndarray], x: np.ndarray, codes: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_codes: np.ndarray, radius: int, k: int = K):
-    """The best ``k`` of one block for each query: (query row, vec_id, score)."""
-    index = Index(codes)
-    copies = np.array([len(i) for i in ids])
-    out = []
-    for j in range(len(q)):
-        r = radius
-        while True:
-            rows = index.within(q_codes[j], r)
-            if copies[rows].sum() > k or r >= 8 * codes.shape[1]:  # one of them may be the query itself
-                break
-            r += 4
-        score = exact_dots(x[rows], q[j])
-        if len(rows) > 4 * k:
-            least = np.partition(score, len(score) - (k + 1))[len(score) - (k + 1)]
-            rows, score = rows[score >= least], score[score >= least]
-        got = [(-s, i) for row, s in zip(rows, score, strict=True) for i in ids[row] if i != q_ids[j]]
-        out += [(j, i, -s) for s, i in sorted(got)[:k]]
-    return out
+class Block:
+    """A block of distinct vectors with their ids and index."""
+
+    def __init__(self, ids: list[np.ndarray], x: np.ndarray, codes: np.ndarray):
+        self.ids, self.x, self.index = ids, x, Index(codes)
+        self.copies = np.array([len(i) for i in ids])
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, q_codes: np.ndarray, radius: int, k: int = K) -> list[tuple[int, int, float]]:
+        """The best ``k`` for each query: (query row, vec_id, score)."""
+        out = []
+        for j in range(len(q)):
+            r = radius
+            while True:
+                rows = self.index.within(q_codes[j], r)
+                if self.copies[rows].sum() > k or r >= 8 * self.index.parts:  # one of them may be the query itself
+                    break
+                r += 4
+            score = exact_dots(self.x[rows], q[j])
+            if len(rows) > 4 * k:
+                least = np.partition(score, len(score) - (k + 1))[len(score) - (k + 1)]
+                rows, score = rows[score >= least], score[score >= least]
+            got = [(-s, i) for row, s in zip(rows, score, strict=True) for i in self.ids[row] if i != q_ids[j]]
+            out += [(j, i, -s) for s, i in sorted(got)[:k]]
+        return out
 
 
 def exact_dots(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -174,30 +180,42 @@ def search(vectors: DataFrame, is_query, k: int = K, bits: int = BITS, sample_ro
     few = lambda c: F.slice(F.array_sort(c), 1, k + 1)
     part = copies.groupBy("v", "salt").agg(few(F.collect_set("vec_id")).alias("ids"))
     distinct = part.groupBy("v").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
-    n_query = max(1, good.where("q").count())
-    q_blocks, r_blocks = -(-n_query // QUERY_BLOCK), -(-rows // ROW_BLOCK)
-    # each query block goes to every row block, and each row block to every query block
-    queries = good.where("q").select("vec_id", "v").distinct().select(F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("rb"), "vec_id", "v")
-    base = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(r_blocks)).cast("int").alias("rb"), "ids", "v")
+    # Each row goes to one block, which has one index; each query goes to every block. In a block rows come first, then the
+    # queries in batches that are answered as they come.
+    blocks = -(-rows // ROW_BLOCK)
+    base = distinct.select(F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(blocks)).cast("int").alias("rb"), F.lit(0).alias("turn"), "ids", "v")
+    queries = good.where("q").select("vec_id", "v").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"), F.lit(1).alias("turn"), F.array("vec_id").alias("ids"), "v")
 
     def matrix(col) -> np.ndarray:
         return np.asarray(col.combine_chunks().flatten() if isinstance(col, pa.ChunkedArray) else col.flatten(), float).reshape(len(col), dim)
 
-    def pair(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        none = pa.table({n: pa.array([], t) for n, t in (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))})
-        if not left.num_rows or not right.num_rows:
-            return none
-        q, x = matrix(left["v"]), matrix(right["v"])
-        q_ids = left["vec_id"].to_numpy()
-        ids = [np.array(i) for i in right["ids"].to_pylist()]
-        got = search_block(ids, x, c.encode(x), q_ids, q, c.encode(q), c.radius, k)
-        if not got:
-            return none
-        j, i, s = (np.array(a) for a in zip(*got, strict=True))
-        return pa.table({"query_id": q_ids[j], "vec_id": i.astype(np.int64), "score": s.astype(float)})
-
-    ship(spark)
-    found = queries.groupBy("qb", "rb").cogroup(base.groupBy("qb", "rb")).applyInArrow(pair, "query_id long, vec_id long, score double")
+        block, held, index = None, [], None
+        for batch in batches:
+            rb, turn = batch.column("rb").to_numpy(), batch.column("turn").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(rb * 2 + turn)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if rb[a] != block:
+                    block, held, index = rb[a], [], None
+                if not turn[a]:
+                    held.append((matrix(part.column("v")), part.column("ids").to_pylist()))
+                    continue
+                if index is None and held:
+                    x = np.concatenate([m for m, _ in held])
+                    index = Block([np.array(i) for _, ids in held for i in ids], x, c.encode(x))
+                    held = []
+                if index is None:
+                    continue
+                q = matrix(part.column("v"))
+                q_ids = part.column("ids").flatten().to_numpy()
+                got = index.search(q_ids, q, c.encode(q), c.radius, k)
+                j, i, s = (np.array(z) for z in zip(*got, strict=True)) if got else ([], [], [])
+                yield pa.record_batch([pa.array(q_ids[np.array(j, int)]), pa.array(np.array(i, np.int64)), pa.array(np.array(s, float))], names=["query_id", "vec_id", "score"])
+
+    found = base.unionByName(queries).repartitionById(blocks, F.col("rb")).sortWithinPartitions("rb", "turn").transform(arrow_map, answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
