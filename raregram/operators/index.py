@@ -74,6 +74,8 @@ class GramIndex:
 
     def candidates(self, keys: list[str], fold: bool = False) -> DataFrame:
         """(row_id) of the rows that have all keys; with ``fold`` also of those posted as odd."""
+        if len(keys) == 1 and not fold:  # each posting is a candidate
+            return self.postings.where(F.col("gram") == keys[0]).select("row_id")
         hits = self.postings.where(F.col("gram").isin(keys + [ODD_KEY] * fold))
         by_row = hits.groupBy("row_id").agg(F.count(F.when(F.col("gram") != ODD_KEY, 1)).alias("n"), F.bool_or(F.col("gram") == ODD_KEY).alias("odd"))
         return by_row.where((F.col("n") == len(keys)) | F.col("odd")).select("row_id")
