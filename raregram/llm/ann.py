@@ -16,8 +16,11 @@ be results of a query, so a crowd of copies costs what one vector costs.
 The queries are a stated set. Rows are shuffled once, into blocks of a fixed size with an index each; every block
 answers the stream of queries with its best ``k``, of which the best ``k`` of all blocks are kept. There is no all-pairs table.
 
-Behaviour: vectors that are null, empty, zero, of a length other than the commonest one, or hold a null or
-non-finite number take no part; ties go to the smaller id; rows alike in id and vector count once, as queries
+Vectors have inner products with those of their own length alone. The rotation learned on the sample serves the
+commonest length; blocks of other lengths learn one each from at most ``SAMPLE_ROWS`` of their own rows.
+
+Behaviour: vectors that are null, empty, zero, or hold a null or non-finite number take no part; a query finds
+rows of its own length only; ties go to the smaller id; rows alike in id and vector count once, as queries
 and as neighbours; other repeated ids are rows of their own, but never neighbours of themselves; fewer than ``k`` candidates give all; an empty table gives no rows.
 """
 
@@ -156,23 +159,31 @@ def exact_dots(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", x, q, optimize=False)
 
 
+def own_coder(x: np.ndarray, bits: int = BITS, k: int = K) -> Coder:
+    """A coder learned from at most ``SAMPLE_ROWS`` of the rows given; their order does not matter."""
+    x = x[np.lexsort(x.T)]
+    return Coder(x[np.random.default_rng(2).permutation(len(x))[:SAMPLE_ROWS]], bits, k)
+
+
 def search(vectors: DataFrame, is_query, k: int = K, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row of which the condition ``is_query`` holds."""
     spark = vectors.sparkSession
     v = F.col(vec_col).cast("array<double>")
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     good = good.where("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
-    sizes = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
+    good = materialize(good.withColumn("n", F.size("v")), "vectors")
+    sizes = good.groupBy("n").count()
+    most, total = sizes.agg(F.max(F.struct("count", (-F.col("n")).alias("n"))), F.sum("count")).first()
+    if not total:
         return spark.createDataFrame([], SCHEMA)
-    dim, rows = sizes[0]["n"], sizes[0]["count"]
-    good = materialize(good.where(F.size("v") == dim), "vectors")
+    dim, rows = -most["n"], most["count"]
+    common = good.where(F.col("n") == dim)
     # the sample: by hash of id and vector, bounded
     h = F.xxhash64(F.lit(9), "vec_id", "v")
     spread = (h.cast("double") / 2.0**63 + 1) / 2
-    picked = good.where(spread <= min(1.0, sample_rows / rows)).select("vec_id", "v").orderBy(h).limit(2 * sample_rows).toArrow()
+    picked = common.where(spread <= min(1.0, sample_rows / rows)).select("vec_id", "v").orderBy(h).limit(2 * sample_rows).toArrow()
     if picked.num_rows == 0:
-        picked = good.select("vec_id", "v").orderBy(h).limit(1).toArrow()
+        picked = common.select("vec_id", "v").orderBy(h).limit(1).toArrow()
     coder = Coder(np.array(picked["v"].to_pylist(), float).reshape(-1, dim), bits, k)
     shared = spark.sparkContext.broadcast(coder)
     # rows alike in id and vector count once; copies together, with their least ids: no more than k + 1 of one vector can be results
@@ -180,33 +191,46 @@ def search(vectors: DataFrame, is_query, k: int = K, bits: int = BITS, sample_ro
     few = lambda c: F.slice(F.array_sort(c), 1, k + 1)
     part = copies.groupBy("v", "salt").agg(few(F.collect_set("vec_id")).alias("ids"))
     distinct = part.groupBy("v").agg(few(F.flatten(F.collect_list("ids"))).alias("ids"))
-    # Each row goes to one block, which has one index; each query goes to every block. In a block rows come first, then the
-    # queries in batches that are answered as they come.
+    # Each row goes to one block, which has one index; each query goes to every block of its length. In a block rows come
+    # first, then the queries in batches that are answered as they come. The commonest length has the first tasks, a block each;
+    # blocks of other lengths are dealt over further tasks.
     blocks = -(-rows // ROW_BLOCK)
-    base = distinct.select(F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(blocks)).cast("int").alias("rb"), F.lit(0).alias("turn"), "ids", "v")
-    queries = good.where("q").select("vec_id", "v").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"), F.lit(1).alias("turn"), F.array("vec_id").alias("ids"), "v")
+    others = -(-(total - rows) // ROW_BLOCK)
+    mine = F.size("v") == dim
+    split = F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(blocks)).cast("int")
+    base = distinct.where(mine).select(split.alias("rb"), F.lit(dim).alias("n"), F.lit(0).alias("sub"), F.lit(0).alias("turn"), "ids", "v")
+    asked = good.where("q").select("vec_id", "v").distinct()
+    queries = asked.where(mine).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"), F.lit(dim).alias("n"), F.lit(0).alias("sub"), F.lit(1).alias("turn"), F.array("vec_id").alias("ids"), "v")
+    work = base.unionByName(queries)
+    if others:
+        parts = sizes.where(F.col("n") != dim).select("n", F.ceil(F.col("count") / ROW_BLOCK).cast("int").alias("subs"))
+        task = (F.lit(blocks) + F.pmod(F.xxhash64(F.lit(5), "n", "sub"), F.lit(others))).cast("int").alias("rb")
+        rest = distinct.where(~mine).withColumn("n", F.size("v")).join(parts, "n").withColumn("sub", F.pmod(F.xxhash64(F.lit(3), "v"), F.col("subs")).cast("int"))
+        rest_asked = asked.where(~mine).withColumn("n", F.size("v")).join(parts, "n").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        work = work.unionByName(rest.select(task, "n", "sub", F.lit(0).alias("turn"), "ids", "v")).unionByName(rest_asked.select(task, "n", "sub", F.lit(1).alias("turn"), F.array("vec_id").alias("ids"), "v"))
 
     def matrix(col) -> np.ndarray:
-        return np.asarray(col.combine_chunks().flatten() if isinstance(col, pa.ChunkedArray) else col.flatten(), float).reshape(len(col), dim)
+        return np.asarray(col.combine_chunks().flatten() if isinstance(col, pa.ChunkedArray) else col.flatten(), float).reshape(len(col), -1)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        block, held, index = None, [], None
+        block, held, index, c = None, [], None, None
         for batch in batches:
-            rb, turn = batch.column("rb").to_numpy(), batch.column("turn").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(rb * 2 + turn)) + 1).tolist(), batch.num_rows]
+            key = np.stack([batch.column(k).to_numpy() for k in ("rb", "n", "sub", "turn")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                if rb[a] != block:
-                    block, held, index = rb[a], [], None
-                if not turn[a]:
+                if tuple(key[a, :3]) != block:
+                    block, held, index = tuple(key[a, :3]), [], None
+                if not key[a, 3]:
                     held.append((matrix(part.column("v")), part.column("ids").to_pylist()))
                     continue
                 if index is None and held:
                     x = np.concatenate([m for m, _ in held])
-                    index = Block([np.array(i) for _, ids in held for i in ids], x, c.encode(x))
+                    ids = [np.array(i) for _, some in held for i in some]
+                    c = shared.value if x.shape[1] == dim else own_coder(x, bits, k)
+                    index = Block(ids, x, c.encode(x))
                     held = []
                 if index is None:
                     continue
@@ -216,6 +240,6 @@ def search(vectors: DataFrame, is_query, k: int = K, bits: int = BITS, sample_ro
                 j, i, s = (np.array(z) for z in zip(*got, strict=True)) if got else ([], [], [])
                 yield pa.record_batch([pa.array(q_ids[np.array(j, int)]), pa.array(np.array(i, np.int64)), pa.array(np.array(s, float))], names=["query_id", "vec_id", "score"])
 
-    found = base.unionByName(queries).repartitionById(blocks, F.col("rb")).sortWithinPartitions("rb", "turn").transform(arrow_map, answer, "query_id long, vec_id long, score double")
+    found = work.repartitionById(blocks + others, F.col("rb")).sortWithinPartitions("rb", "n", "sub", "turn").transform(arrow_map, answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

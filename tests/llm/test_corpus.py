@@ -315,6 +315,27 @@ def test_neighbours(spark):
     assert ann.search(df.where("false"), df["vec_id"] % 20 == 0).count() == 0
 
 
+def test_neighbours_of_several_lengths(spark, monkeypatch):
+    """Each length is searched among its own rows, in several blocks too; results are those of brute force."""
+    monkeypatch.setattr(ann, "ROW_BLOCK", 64)
+    rng = np.random.default_rng(12)
+    lengths = [12] * 300 + [8] * 200 + [1] * 30 + [70] * 25 + [3]
+    x = {i: rng.normal(size=n) for i, n in enumerate(lengths)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 5 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hit = want = 0
+    for q in range(0, len(lengths), 5):
+        near = sorted((-float(np.einsum("j,j->", x[i], x[q])), i) for i in x if i != q and lengths[i] == lengths[q])[:20]
+        found = sorted(got.pop(q, []))
+        assert [r for r, *_ in found] == list(range(1, len(near) + 1))
+        assert all(lengths[i] == lengths[q] and s == pytest.approx(x[i] @ x[q], abs=1e-12) for _, i, s in found)
+        hit += len({i for _, i, _ in found} & {i for _, i in near})
+        want += len(near)
+    assert not got and hit >= 0.9 * want
+
+
 def test_probing_reaches_every_code_within_the_radius():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 256, (3000, 8)).astype(np.uint8)
