@@ -6,7 +6,7 @@ word before it. Indicators are scaled by the log ratio of their smoothed counts
 classes and normalised to length one; a linear model with hinge loss is fit by dual coordinate
 descent, and its margins are turned into probabilities by a logistic fit on held-out folds.
 
-The fit reads at most ``max_rows`` labelled rows, taken by hash of the text. Scoring reads every row and whole
+The fit reads about ``max_rows`` labelled documents at most, chosen by hash of the id (an id is never a feature). Scoring reads every row and whole
 texts in one pass without a shuffle.
 
 Behaviour: null texts are scored as empty ones; repeated rows and null ids are kept; a document
@@ -34,6 +34,8 @@ BITS = 16
 STREAM_N = 8
 SIZE = 3 * (1 << BITS) + 4 ** (STREAM_N + 1) + 64
 C, EPOCHS, SMOOTH = 1.0, 20, 1.0
+#: The fit ends once no dual variable moves by this much in an epoch.
+STOP = 1e-3
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -122,7 +124,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                 bias += d
                 alpha[i] = a
                 most = max(most, abs(d))
-        if most < 1e-3:
+        if most < STOP:
             break
     return w * ratio, ratio * ratio, bias
 

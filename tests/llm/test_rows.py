@@ -9,7 +9,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from raregram.llm import langid, packing, pii, quality, secret_scan, token_count, word_bpe
@@ -160,6 +162,34 @@ def test_language_sample_is_of_distinct_texts(spark, rng):
     assert with_long.count(b"\n") > 50 and len(langid.learn(long)["bb"]) == langid.DICT_BYTES
 
 
+def language_by_definition(text, known):
+    """Every chunk compressed with every dictionary, by the plain interface of the library; the least sum, then the first name."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und"
+    flat = re.sub(r"[^a-z\x80-\U0010FFFF]+", " ", text.lower()).encode()
+    if flat.endswith(b" ") and len(flat) > 1 and flat[-2:-1] == b" ":
+        flat = flat[:-1]
+    flat = flat[1:] if flat.startswith(b" ") else flat
+    n = max(1, round(len(flat) / langid.CHUNK_BYTES))
+    step = -(-len(flat) // n)
+    total = {}
+    for k, d in known.items():
+        c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        total[k] = sum(len(c.compress(flat[i : i + step])) for i in range(0, len(flat), step))
+    return min(total, key=lambda k: (total[k], k))
+
+
+def test_language_is_the_definition(spark, edges, rng):
+    makers = [made_language(rng, x) for x in ("abcdefgh", "ijklmnop", "abijqrst")]
+    known = {k: langid.normalise(" ".join(m(60) for _ in range(20))) for k, m in zip(("bb", "aa", "cc"), makers, strict=True)}
+    known["tie"] = known["cc"]  # equal sizes: the first name
+    texts = [(100 + i, makers[i % 3](rng.choice([1, 5, 40, 3000])) + rng.choice(["", "!", " 12 ", " É ok"])) for i in range(60)]
+    docs = edges.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = sorted((repr(r["doc_id"]), r["lang_pred"]) for r in langid.identify(docs, known).collect())
+    assert got == sorted((repr(i), language_by_definition(t, known)) for i, t in EDGES + texts)
+    assert "tie" not in {k for _, k in got} and {"aa", "bb", "cc", "und"} == {k for _, k in got}
+
+
 # quality
 
 
@@ -182,6 +212,63 @@ def test_quality(spark, edges, empty, rng):
     assert all(r["score"] == pytest.approx(0.5) for r in quality.score(docs.limit(3), none).collect())
 
 
+def test_quality_features_are_the_definition():
+    """Each feature number is marked exactly where one of its grams occurs, row by row."""
+    texts = [t or "" for _, t in EDGES if len(t or "") < 2000] + [prose(random.Random(i), 30) for i in range(20)] + ["A a b a a", "é9 É9 x"]
+    data, offs = quality.utf8_rows(pa.array(texts))
+    got = [set(x.tolist()) for x in quality.features(data, offs)]
+    base = 1 << quality.BITS
+    hashes = {}
+    for t, ids in zip(texts, got, strict=True):
+        b = t.encode()
+        words = [w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)]
+        kinds = [3 if i and w == words[i - 1] else 2 if w in words[:i] else 1 for i, w in enumerate(words)]
+        assert {x for x in ids if x < base} == {p << 8 | q for p, q in zip(b, b[1:])}
+        three = {x for x in ids if base <= x < 2 * base}
+        assert len(three) <= len(set(zip(b, b[1:], b[2:]))) and bool(three) == (len(b) > 2)
+        stream = {x - 3 * base for x in ids if 3 * base <= x < quality.SIZE - 64}
+        want = {int("".join(map(str, kinds[i : i + n])), 4) for n in range(1, quality.STREAM_N + 1) for i in range(len(kinds) - n + 1)}
+        assert stream == want
+        assert {x for x in ids if x >= quality.SIZE - 64} == {quality.SIZE - 64 + len(words).bit_length()}
+        for w in set(words):  # words and pairs are hashed: equal sets in every row
+            hashes.setdefault(w, []).append({x for x in ids if 2 * base <= x < 3 * base})
+    for sets in hashes.values():
+        assert set.intersection(*sets)
+
+
+@pytest.mark.parametrize(("epochs", "stop", "slack"), [(quality.EPOCHS, quality.STOP, 0.05), (2000, 1e-7, 0.001)])
+def test_quality_model_solves_its_problem(monkeypatch, epochs, stop, slack):
+    """Dual coordinate descent goes to the least hinge loss that a plain subgradient method finds, on features scaled by hand."""
+    monkeypatch.setattr(quality, "EPOCHS", epochs)
+    monkeypatch.setattr(quality, "STOP", stop)
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(10, 40)) for _ in range(60)] + [" ".join(rng.choice(["buy", "now", "the", "of", "and"]) for _ in range(rng.randint(10, 40))) for _ in range(30)]
+    y = np.array([1] * 60 + [0] * 30)
+    rows_ = [x for x in quality.features(*quality.utf8_rows(pa.array(texts)))]
+    weight, ratio2, bias = quality._fit(rows_, y)
+    used = sorted(set(np.concatenate(rows_).tolist()))
+    at = {f: i for i, f in enumerate(used)}
+    x = np.zeros((len(y), len(used)))
+    for i, ids in enumerate(rows_):
+        x[i, [at[f] for f in ids]] = 1
+    p, q = x[y == 1].sum(axis=0) + 1, x[y == 0].sum(axis=0) + 1
+    ratio = np.log(p / (60 + 2)) - np.log(q / (30 + 2))
+    assert np.allclose(ratio2[used], ratio**2)
+    x = x * ratio
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.hstack([x, np.ones((len(y), 1))])
+    sign = np.where(y == 1, 1.0, -1.0)
+    cost = np.where(y == 1, 90 / 120, 90 / 60)
+    loss = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - sign * (x @ w))).sum()
+    w, best = np.zeros(x.shape[1]), np.inf
+    for step in range(1, 6000):
+        hot = sign * (x @ w) < 1
+        w -= (w - x.T @ (cost * sign * hot)) / step
+        best = min(best, loss(w))
+    mine = np.append(np.divide(weight[used], ratio, out=np.zeros(len(used)), where=ratio != 0), bias)
+    assert loss(mine) <= best * (1 + slack)
+
+
 # secrets
 
 
