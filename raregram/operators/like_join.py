@@ -2,48 +2,53 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raregram.functions.patterns import keys as pattern_keys
 from raregram.functions.patterns import normalise
 from raregram.operators.index import ODD_KEY, GramIndex
+from raregram.shipping import ship
 
-#: Patterns are taken to the driver to be cut into keys, so their number is checked.
-MOST_PATTERNS = 100_000
+#: Patterns without keys are tested in blocks of about this many.
+BLOCK = 4096
 
 
 def like_join(df: DataFrame, row_id: str, text: str, patterns: DataFrame, pattern_id: str, pattern: str, index: GramIndex, fold: bool = False) -> DataFrame:
     """(pattern_id, row_id) of all matches.
 
     Patterns with keys meet postings in an equi-join on the key; a pair stays a candidate where all
-    keys of its pattern met. Patterns without keys are tested together in one scan, as an array
-    that is sent to every task. Null patterns match nothing.
+    keys of its pattern met. Patterns without keys are tested in blocks, each an array: a single block is sent to
+    every task, more blocks meet the rows part by part. Patterns are cut on executors, in Arrow batches. Null
+    patterns match nothing.
     """
     spark = df.sparkSession
-    rows = [(r[0], r[1]) for r in patterns.select(pattern_id, pattern).where(F.col(pattern).isNotNull()).limit(MOST_PATTERNS + 1).collect()]
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns; join them in parts")
     kind = patterns.schema[pattern_id].dataType.simpleString()
-    closed = frozenset(index.options.closed)
-    keyed, bare = [], []
-    for i, p in rows:
-        k = pattern_keys(p, index.options, closed=closed, fold=fold)
-        (keyed if k else bare).append((i, normalise(p), k))
+    shared = spark.sparkContext.broadcast((index.options, frozenset(index.options.closed)))
+
+    def run(batches):
+        options, closed = shared.value
+        for batch in batches:
+            given = batch.column("pattern").to_pylist()
+            cut = [pattern_keys(p, options, closed=closed, fold=fold) for p in given]
+            yield pa.record_batch([batch.column("pattern_id"), pa.array([normalise(p) for p in given], pa.string()), pa.array(cut, pa.list_(pa.string()))], names=["pattern_id", "pattern", "keys"])
+
+    ship(spark)
+    given = patterns.select(F.col(pattern_id).alias("pattern_id"), F.col(pattern).alias("pattern")).where("pattern is not null")
+    table = given.mapInArrow(run, f"pattern_id {kind}, pattern string, keys array<string>")
+    keyed, bare = table.where(F.size("keys") > 0), table.where(F.size("keys") == 0)
     operator = "ILIKE" if fold else "LIKE"
     base = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
-    parts = []
-    if keyed:
-        table = spark.createDataFrame(keyed, f"pattern_id {kind}, pattern string, keys array<string>")
-        probes = table.select("pattern_id", F.size("keys").alias("n"), F.explode(F.concat("keys", F.array(F.lit(ODD_KEY))) if fold else F.col("keys")).alias("gram"))
-        hits = index.postings.join(probes, "gram").groupBy("pattern_id", "row_id").agg(F.count(F.when(F.col("gram") != ODD_KEY, 1)).alias("k"), F.max("n").alias("n"), F.bool_or(F.col("gram") == ODD_KEY).alias("odd"))
-        pairs = hits.where("k = n or odd").select("pattern_id", "row_id").join(table.select("pattern_id", "pattern"), "pattern_id")
-        parts.append(pairs.join(base, "row_id").where(F.expr(f"text {operator} pattern")).select("pattern_id", "row_id"))
-    if bare:
-        # one row that holds all of them goes to every task
-        one = spark.createDataFrame([([(i, p) for i, p, _ in bare],)], f"_p array<struct<i:{kind},p:string>>")
-        tested = base.join(F.broadcast(one), how="cross").select("row_id", F.explode(F.expr(f"filter(_p, x -> text {operator} x.p)")).alias("m"))
-        parts.append(tested.select(F.col("m.i").alias("pattern_id"), "row_id"))
-    if not parts:
-        return base.where(F.lit(False)).select(F.lit(None).cast(kind).alias("pattern_id"), "row_id")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    probes = keyed.select("pattern_id", F.size("keys").alias("n"), F.explode(F.concat("keys", F.array(F.lit(ODD_KEY))) if fold else F.col("keys")).alias("gram"))
+    hits = index.postings.join(probes, "gram").groupBy("pattern_id", "row_id").agg(F.count(F.when(F.col("gram") != ODD_KEY, 1)).alias("k"), F.max("n").alias("n"), F.bool_or(F.col("gram") == ODD_KEY).alias("odd"))
+    pairs = hits.where("k = n or odd").select("pattern_id", "row_id").join(keyed.select("pattern_id", "pattern"), "pattern_id")
+    found = pairs.join(base, "row_id").where(F.expr(f"text {operator} pattern")).select("pattern_id", "row_id")
+    blocks = -(-bare.count() // BLOCK)
+    if not blocks:
+        return found
+    block = F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(blocks))
+    held = bare.groupBy(block.alias("_b")).agg(F.collect_list(F.struct(F.col("pattern_id").alias("i"), F.col("pattern").alias("p"))).alias("_p")).select("_p")
+    tested = base.crossJoin(F.broadcast(held) if blocks == 1 else held)
+    tested = tested.select("row_id", F.explode(F.expr(f"filter(_p, x -> text {operator} x.p)")).alias("m"))
+    return found.unionByName(tested.select(F.col("m.i").alias("pattern_id"), "row_id"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -133,6 +134,16 @@ def test_like_join(spark, docs):
         assert got == want
 
 
+def test_like_join_in_several_blocks(spark, docs, monkeypatch):
+    """Patterns without keys are as many as there are, in blocks; the matches are those of one block."""
+    patterns = spark.createDataFrame([(i, p) for i, p in enumerate(PATTERNS)] + [(99, None)], "p int, pattern string")
+    index = GramIndex.build(docs, "row_id", "s", GramOptions(3, 3))
+    once = sorted(map(tuple, like_join(docs, "row_id", "s", patterns, "p", "pattern", index).collect()))
+    monkeypatch.setattr(sys.modules["raregram.operators.like_join"], "BLOCK", 2)
+    assert sorted(map(tuple, like_join(docs, "row_id", "s", patterns, "p", "pattern", index).collect())) == once
+    assert like_join(docs, "row_id", "s", patterns.where("false"), "p", "pattern", index).count() == 0
+
+
 def test_statistics_and_estimates(spark, docs, tmp_path):
     texts = some_texts()
     stats = analyze(docs, "s")
