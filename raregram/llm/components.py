@@ -2,6 +2,9 @@
 
 No node or link is brought to the driver. Each round is a few hash aggregations and joins; stars
 of links to a common least node, as the operators here make them, settle in one or two rounds.
+
+Behaviour: repeated links and links of a node to itself count once and not at all; a link with a null end
+joins nothing; least nodes and nodes without links have no row; an empty table gives no rows; columns other than u and v are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ to lower-case letters, each run of anything else to one blank. A text is cut int
 wins; a winner ahead by less than ``min_margin`` (as a part of the runner-up's size) is rejected.
 
 The sample is bounded: at most ``dict_bytes`` of at most ``sample_rows`` distinct texts a language, those of
-the lowest hashes among the rows given for learning; copies count once. Everything after that reads all rows and whole texts, in one pass
+the lowest hashes among the rows given for learning; copies count once. Where the column of languages is dirty, the
+``languages`` values with the most distinct texts (counted up to ``sample_rows``; then the first names) are learned, so the dictionaries together are bounded too. Everything after that reads all rows and whole texts, in one pass
 without a shuffle.
 
 Behaviour: null texts and texts without a letter are ``und`` with score 0; null languages are
@@ -30,6 +31,8 @@ from raregram.llm.common import arrow_map
 DICT_BYTES = 64 << 10
 #: Distinct texts read for one language's dictionary at most.
 SAMPLE_ROWS = 400
+#: Languages learned at most.
+LANGUAGES = 256
 #: One text takes a MAX_PARTS-th of a dictionary at most, unless the others leave room.
 MAX_PARTS = 8
 CHUNK_BYTES = 4096
@@ -60,14 +63,15 @@ def normalise(text: str) -> bytes:
     return np.where(letter, b, np.uint8(32))[keep].tobytes()
 
 
-def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """One dictionary for each language of ``rows``, from a bounded sample in hash order."""
+def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """One dictionary for each of at most ``languages`` languages of ``rows``, from a bounded sample in hash order."""
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and text != ''")
     h = F.xxhash64("text")
     rows = rows.withColumn("h", h)
     # the lowest hashes of distinct texts, so copies neither lower the share of a language nor use up its sample
     low = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_rows)
-    ends = {r["lang"]: r["end"] for r in low.groupBy("lang").agg(F.max("h").alias("end")).collect()}
+    most = low.groupBy("lang").agg(F.max("h").alias("end"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    ends = {r["lang"]: r["end"] for r in most.collect()}
     if not ends:
         return {}
     end = F.create_map(*[F.lit(x) for pair in sorted(ends.items()) for x in pair])

@@ -6,11 +6,12 @@ word before it. Indicators are scaled by the log ratio of their smoothed counts
 classes and normalised to length one; a linear model with hinge loss is fit by dual coordinate
 descent, and its margins are turned into probabilities by a logistic fit on held-out folds.
 
-The fit reads about ``max_rows`` labelled documents at most, chosen by hash of the id (an id is never a feature). Scoring reads every row and whole
+The fit reads about ``max_rows`` labelled documents at most, chosen by hash of the id (an id is never a feature); of rows with one
+id it reads one, so an id that repeats without end stays one document of the sample. Scoring reads every row and whole
 texts in one pass without a shuffle.
 
 Behaviour: null texts are scored as empty ones; repeated rows and null ids are kept; a document
-with several labels counts with its lowest; with fewer than two classes the score is the share of
+with several labels counts with its lowest, and one with several texts is learned from the text of the least hash; with fewer than two classes the score is the share of
 label 1 (0.5 without labels); columns other than the named ones are not read.
 """
 
@@ -164,6 +165,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         spread = (F.xxhash64(F.lit(11), "doc_id").cast("double") / 2.0**63 + 1) / 2
         marks = marks.where(spread <= max_rows / n)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id")
+    # one row of each id, found before the shuffle where rows of one id crowd
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "y", "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

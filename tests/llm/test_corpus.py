@@ -128,6 +128,8 @@ def test_components(spark):
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: find(i) for i in root if find(i) != i}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    odd = spark.createDataFrame([(1, 2, 0), (2, 1, 0), (1, 2, 0), (3, 3, 0), (None, 4, 0), (5, None, 0), (None, None, 0)], "u long, v long, m long")
+    assert sorted(map(tuple, components(odd).collect())) == [(2, 1)]
 
 
 # exact substrings
@@ -379,6 +381,28 @@ def test_pipeline(spark):
     assert tokens(corpus_pipeline.run(spark, SF_DIR)) == tokens(outs[-1])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
+def test_pipeline_of_odd_rows(spark, edges, empty):
+    """Every stage by itself takes nulls, blanks, copies, long texts, clashing columns, and no rows."""
+    import corpus_pipeline
+
+    odd = edges.withColumn("n_chars", F.length("text").cast("long"))
+    few = empty.select("doc_id", "text")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF_DIR)
+        rows = out.collect()
+        assert out.schema.names == odd.columns and len(rows) <= len(EDGES), name
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows), name
+        if name in ("decontamination", "personal_data"):
+            assert sorted(repr(r["doc_id"]) for r in rows) == sorted(repr(i) for i, _ in EDGES), name
+        for none in (empty, few):
+            left = stage(spark, none, SF_DIR)
+            assert left.columns == none.columns and left.count() == 0, name
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert {repr(r["doc_id"]) for r in pack(spark, odd, SF_DIR).collect()} == {repr(i) for i, _ in EDGES}
+    assert pack(spark, empty, SF_DIR).count() == pack(spark, few, SF_DIR).count() == 0
+
+
 def test_rows_are_told_apart_whatever_a_short_hash_says(spark):
     """Different texts with null ids and one 32-bit hash: both stay, and nothing of them is removed."""
     words = lambda i: F.regexp_replace(F.sha2(i.cast("string"), 512), "(.{8})", "$1 ")

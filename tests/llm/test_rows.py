@@ -162,6 +162,13 @@ def test_language_sample_is_of_distinct_texts(spark, rng):
     assert with_long.count(b"\n") > 50 and len(langid.learn(long)["bb"]) == langid.DICT_BYTES
 
 
+def test_a_dirty_language_column_is_bounded(spark, rng):
+    make = made_language(rng, "abcdefgh")
+    rows = [(make(20), k) for k in ("aa", "bb") for _ in range(30)] + [(make(20), f"odd {i:03}") for i in range(300)]
+    known = langid.learn(spark.createDataFrame(rows, "text string, lang string"), languages=4)
+    assert list(known) == ["aa", "bb", "odd 000", "odd 001"]
+
+
 def language_by_definition(text, known):
     """Every chunk compressed with every dictionary, by the plain interface of the library; the least sum, then the first name."""
     if not text or not any(c.isalpha() for c in text):
@@ -212,6 +219,15 @@ def test_quality(spark, edges, empty, rng):
     assert all(r["score"] == pytest.approx(0.5) for r in quality.score(docs.limit(3), none).collect())
 
 
+def test_quality_learns_one_row_of_an_id(spark, rng):
+    rows = [(i, prose(rng, 30)) for i in range(40)] + [(100 + i, "buy now!!! " * (5 + i)) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = once.where("doc_id = 3").crossJoin(spark.range(20_000).drop("id"))
+    a, b = quality.learn(once, labels), quality.learn(once.unionByName(hot).repartition(5), labels)
+    assert (a.weight == b.weight).all() and (a.bias, a.slope, a.shift) == (b.bias, b.slope, b.shift)
+
+
 def test_quality_features_are_the_definition():
     """Each feature number is marked exactly where one of its grams occurs, row by row."""
     texts = [t or "" for _, t in EDGES if len(t or "") < 2000] + [prose(random.Random(i), 30) for i in range(20)] + ["A a b a a", "é9 É9 x"]
