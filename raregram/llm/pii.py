@@ -435,19 +435,25 @@ def train(carriers: tuple[str, ...], seeds: tuple[int, ...] = SEEDS, steps: int
 
 
 def learn(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, piece_chars: int = PIECE_CHARS, sample_chars: int = SAMPLE_CHARS) -> Tagger:
-    """Train on carriers from at most ``sample_rows`` texts, taken by hash.
+    """Train on carriers from at most ``sample_rows`` distinct texts, those of the lowest hashes.
 
     Of a text longer than ``piece_chars`` a piece is used, at a place given by its hash; pieces are used in the order of
-    their hashes until they have ``sample_chars`` characters.
+    their hashes until they have ``sample_chars`` characters. Copies count once.
     """
     h = F.xxhash64(F.lit(3), "text")
     rows = docs.select(F.col(text_col).alias("text")).where("text is not null and text != ''")
     spread = (h.cast("double") / 2.0**63 + 1) / 2
     n = rows.count()
     at = F.pmod(h, F.greatest(F.length("text") - piece_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
-    some = rows.where(spread <= min(1.0, 4.0 * sample_rows / max(n, 1))).select(h.alias("h"), F.substring("text", at, F.lit(piece_chars)).alias("text")).orderBy("h", "text").limit(sample_rows)
+    pieces = rows.select(h.alias("h"), spread.alias("spread"), F.substring("text", at, F.lit(piece_chars)).alias("text"))
+    share, some = 4.0 * sample_rows / max(n, 1), []
+    while len(some) < sample_rows:  # of copies fewer texts pass than rows were counted; a wider share has the same lowest hashes
+        some = pieces.where(F.col("spread") <= share).select("h", "text").distinct().orderBy("h", "text").limit(sample_rows).collect()
+        if share >= 1:
+            break
+        share *= 64
     carriers, total = [], 0
-    for r in some.collect():
+    for r in some:
         if total < sample_chars:
             carriers.append(r["text"])
             total += len(r["text"])

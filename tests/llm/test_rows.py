@@ -458,6 +458,20 @@ def test_pii_rows(spark, edges, empty, tagger):
     assert isinstance(pii.learn(empty), pii.Tagger)
 
 
+def test_carriers_are_distinct_texts(spark, rng, monkeypatch):
+    """A text of very many copies is one carrier, and few texts in many copies are all found."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "train", lambda carriers: carriers)
+    texts = spark.createDataFrame([(prose(rng, 40),) for _ in range(150)], "text string")
+    h = F.xxhash64(F.lit(3), "text")
+    want = [r["text"] for r in texts.orderBy(h).limit(50).collect()]
+    hot = texts.orderBy(h).limit(1).crossJoin(spark.range(30_000).drop("id"))
+    assert list(pii.learn(texts.unionByName(hot).repartition(4), sample_rows=50)) == want
+    few = texts.orderBy(h.desc()).limit(3).crossJoin(spark.range(30_000).drop("id"))
+    assert len(pii.learn(few, sample_rows=50)) == 3
+
+
 def test_patterns_are_linear():
     import time
 
