@@ -105,10 +105,8 @@ def _fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         count[int(label)][ids] += 1
     n = np.bincount(y, minlength=2) + 2 * SMOOTH
     ratio = np.log(count[1] / n[1]) - np.log(count[0] / n[0])
-    xs = []
-    for ids in rows:
-        v = ratio[ids]
-        xs.append(v / max(1e-9, np.sqrt((v * v).sum())))
+    # only a row's length is kept: its scaled indicators take twice the room of its numbers, and are soon made again
+    norm = [max(1e-9, np.sqrt((ratio[ids] * ratio[ids]).sum())) for ids in rows]
     sign = np.where(y == 1, 1.0, -1.0)
     cost = C * len(y) / (2 * np.bincount(y, minlength=2)[y])  # both classes weigh the same
     w, bias, alpha = np.zeros(SIZE), 0.0, np.zeros(len(y))
@@ -116,7 +114,8 @@ def _fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     for _ in range(EPOCHS):
         most = 0.0
         for i in rng.permutation(len(y)):
-            ids, x = rows[i], xs[i]
+            ids = rows[i]
+            x = ratio[ids] / norm[i]
             g = sign[i] * (w[ids] @ x + bias) - 1
             a = min(max(alpha[i] - g / 2.0, 0.0), cost[i])  # a row's squared length is 1, and 1 for the bias
             d = (a - alpha[i]) * sign[i]
@@ -176,10 +175,18 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     got = rows.transform(arrow_map, run, "doc_id long, y int, ids array<int>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    flat = got["ids"].combine_chunks()
-    o, v = flat.offsets.to_numpy(), flat.values.to_numpy()
-    base = o[0] if len(o) else 0
-    return fit([v[o[i] - base : o[i + 1] - base] for i in order], got["y"].to_numpy()[order].tolist())
+    y = got["y"].to_numpy()[order].tolist()
+    chunks = got["ids"].chunks
+    del got
+    every: list[np.ndarray] = []
+    for chunk in chunks:  # as they came: put together they would be held twice
+        o, v = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        every += [v[a:b] for a, b in zip(o[:-1], o[1:], strict=True)]
+    model = fit([every[i] for i in order], y)
+    every.clear()
+    chunks = chunk = o = v = None
+    pa.default_memory_pool().release_unused()  # or the driver holds the sample's room to the end of the session
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

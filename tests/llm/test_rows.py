@@ -228,6 +228,21 @@ def test_quality_learns_one_row_of_an_id(spark, rng):
     assert (a.weight == b.weight).all() and (a.bias, a.slope, a.shift) == (b.bias, b.slope, b.shift)
 
 
+def test_quality_fit_holds_less_than_its_sample_twice():
+    """The driver has the sample itself; a copy of it as doubles, twice its size, took the pipeline beyond the driver's memory."""
+    import tracemalloc
+
+    made = np.random.default_rng(5)
+    sample = [np.sort(made.choice(quality.SIZE, 40_000, replace=False)).astype(np.int32) for _ in range(240)]
+    tracemalloc.start()
+    try:
+        model = quality.fit(sample, [i % 2 for i in range(len(sample))])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 2 * sum(x.nbytes for x in sample) and all((model.score(x) >= 0.5) == (i % 2 == 1) for i, x in enumerate(sample))
+
+
 def test_quality_features_are_the_definition():
     """Each feature number is marked exactly where one of its grams occurs, row by row."""
     texts = [t or "" for _, t in EDGES if len(t or "") < 2000] + [prose(random.Random(i), 30) for i in range(20)] + ["A a b a a", "é9 É9 x"]
