@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from raregram.functions.words import row_grams
 from raregram.operators.index import GramIndex
+from raregram.operators.statistics import gram_frequencies
 from raregram.options import GramOptions
 
 
@@ -31,5 +30,4 @@ class GramIngest:
 
 def stream_frequencies(stream: DataFrame, text: str, min_q: int, max_q: int) -> DataFrame:
     """Running (gram, df) of a stream of texts, for the complete or update output mode."""
-    once = stream.select(F.explode(row_grams(F.col(text), min_q, max_q)).alias("gram"))
-    return once.groupBy("gram").agg(F.count("*").alias("df"))
+    return gram_frequencies(stream, text, min_q, max_q)
