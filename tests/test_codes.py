@@ -3,10 +3,12 @@
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from raregram.functions import codes
 from raregram.functions.minimal import minimal_grams, padded_words
 from raregram.operators import analyze, gram_frequencies, qgram_stat
+from raregram.operators.extract import postings
 from raregram.options import GramOptions
 
 TEXTS = ["Index, the index", None, "", "zz--9", "worKing İn été", "the", "...", "a", "x" * 300]
@@ -54,3 +56,15 @@ def test_frequencies_are_counted_where_rows_lie(spark, monkeypatch):
         assert "Generate" not in frame._jdf.queryExecution().executedPlan().toString()
     summary = analyze(df, "s").summary.first()
     assert summary["occurrences"] == 9 * sum(len(grams_of(t, 1, 3)) for t in TEXTS)
+
+
+def test_postings_are_not_shuffled(spark):
+    """Rows with ids of their own are posted where they lie; of repeated and null ids each pair still stands once."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i long, s string")
+    options = GramOptions(2, 3, ("th", "he"))
+    assert "Exchange" not in postings(df, "i", "s", options)._jdf.queryExecution().executedPlan().toString()
+    closed = frozenset(options.closed)
+    want = sorted((g, i) for i, t in enumerate(TEXTS) for g in {g for w in padded_words(t or "") for g in minimal_grams(w, 2, 3, closed)})
+    assert sorted(map(tuple, postings(df, "i", "s", options).collect())) == want
+    twice = df.unionByName(df).withColumn("i", F.when(F.col("i") > 0, F.col("i")))
+    assert sorted(map(tuple, postings(twice, "i", "s", options).collect()), key=str) == sorted(((g, i or None) for g, i in want), key=str)
