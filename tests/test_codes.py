@@ -1,5 +1,7 @@
 """Grams as numbers, against their definitions; steps that must not grow faster than their input."""
 
+import time
+
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 
 from raregram.functions import codes
 from raregram.functions.minimal import minimal_grams, padded_words
-from raregram.operators import analyze, gram_frequencies, qgram_stat
+from raregram.functions.patterns import backtracks, held, regex
+from raregram.operators import analyze, gram_frequencies, like, not_like, qgram_stat
 from raregram.operators.extract import postings
 from raregram.options import GramOptions
 
@@ -68,3 +71,24 @@ def test_postings_are_not_shuffled(spark):
     assert sorted(map(tuple, postings(df, "i", "s", options).collect())) == want
     twice = df.unionByName(df).withColumn("i", F.when(F.col("i") > 0, F.col("i")))
     assert sorted(map(tuple, postings(twice, "i", "s", options).collect()), key=str) == sorted(((g, i or None) for g, i in want), key=str)
+
+
+def test_like_takes_time_by_the_length_of_the_text(spark):
+    """Three runs over a text of one letter: plain LIKE would try 10**10 places."""
+    df = spark.createDataFrame([("t" * 300_000,), ("Tab 5%, x",), (None,)], "s string")
+    start = time.perf_counter()
+    for pattern, fold in (("%t%!%%", True), ("%t%!%%", False), ("%t%!%%x", True)):
+        assert [r[0] for r in df.select(like(F.col("s"), pattern, "!", fold)).collect()] == [False, fold, None]
+    assert not_like(df, "s", "%t%!%%", "!", True).count() == 1
+    assert time.perf_counter() - start < 60
+
+
+def test_expressions_are_the_patterns(spark):
+    """Of every kind of pattern: the linear expression gives what LIKE gives."""
+    texts = ["", "a", "ab", "aab", "abab", "a\nb", "xaybz", "a.b", "a%b", "a_b", "\U0001f600b", "ba"]
+    patterns = ["", "%", "a", "a%", "%a", "%a%", "%a%b", "a%b%", "%a%b%", "a_b", "%a_%b", "_%b", "%.%b", "%\\%%b", "%%a%%b%%", "a%a%b", "%\\_%b%", "%_b"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for p in patterns:
+        got = df.select("s", F.col("s").like(p).alias("a"), F.col("s").rlike(regex(p)).alias("b"), (F.contains("s", F.lit(held(p))) if held(p) else F.col("s").like(p)).alias("c")).collect()
+        assert all(r["a"] == r["b"] == r["c"] for r in got), p
+    assert [p for p in patterns if not backtracks(p)] == ["", "%", "a", "a%", "%a", "%a%", "a%b%", "a_b", "_%b", "%_b"]
