@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from raregram.functions import codes
 from raregram.functions.minimal import minimal_grams, padded_words
 from raregram.functions.patterns import backtracks, held, regex
-from raregram.operators import analyze, gram_frequencies, like, not_like, qgram_stat
+from raregram.operators import GramIndex, analyze, gram_frequencies, like, like_join, not_like, qgram_stat
 from raregram.operators.extract import postings
+from raregram.operators.like_join import _rarest
 from raregram.options import GramOptions
 
 TEXTS = ["Index, the index", None, "", "zz--9", "worKing İn été", "the", "...", "a", "x" * 300]
@@ -92,3 +93,17 @@ def test_expressions_are_the_patterns(spark):
         got = df.select("s", F.col("s").like(p).alias("a"), F.col("s").rlike(regex(p)).alias("b"), (F.contains("s", F.lit(held(p))) if held(p) else F.col("s").like(p)).alias("c")).collect()
         assert all(r["a"] == r["b"] == r["c"] for r in got), p
     assert [p for p in patterns if not backtracks(p)] == ["", "%", "a", "a%", "%a", "%a%", "a%b%", "a_b", "_%b", "%_b"]
+
+
+def test_join_meets_the_rarest_key_alone(spark):
+    """A pattern of many common keys takes the rows of one; patterns and rows that come again are matched again, by ids that are null too."""
+    rows = [(i, "the indexing of the thing") for i in range(30)] + [(None, "the zebra indexing"), (7, "a Zebra indexing K")]
+    df = spark.createDataFrame(rows, "i long, s string")
+    patterns = spark.createDataFrame([(1, "%zebra indexing%"), (1, "%zebra indexing%"), (2, "%the%thing"), (3, "%a%")], "p int, s string")
+    index = GramIndex.build(df, "i", "s", GramOptions(3, 3))
+    keyed = spark.createDataFrame([(1, 1, ["the", "ing", "zeb", "ndx"]), (2, 2, ["the", "ing"])], "_a int, _b int, keys array<string>")
+    assert {tuple(r) for r in _rarest(index.postings, keyed, lambda x: x).collect()} == {(1, 1, "ndx"), (2, 2, "ing")}
+    for fold in (False, True):
+        zebra = [None, 7] if fold else [None]
+        want = [(1, i) for i in zebra * 2] + [(2, i) for i in range(30)] + [(3, None), (3, 7)]
+        assert sorted(map(tuple, like_join(df, "i", "s", patterns, "p", "s", index, fold).collect()), key=str) == sorted(want, key=str)
