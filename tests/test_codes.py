@@ -74,6 +74,13 @@ def test_postings_are_not_shuffled(spark):
     assert sorted(map(tuple, postings(twice, "i", "s", options).collect()), key=str) == sorted(((g, i or None) for g, i in want), key=str)
 
 
+def test_candidate_counts(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i long, s string")
+    index = GramIndex.build(df, "i", "s", GramOptions(2, 3))
+    frame = index.candidate_counts(["%index%", "%the%", "%qq%", "%", "%K%"])
+    assert {r["pattern"]: r["n"] for r in frame.collect()} == {"%index%": 1, "%the%": 2, "%qq%": 0}
+
+
 def test_like_takes_time_by_the_length_of_the_text(spark):
     """Three runs over a text of one letter: plain LIKE would try 10**10 places."""
     df = spark.createDataFrame([("t" * 300_000,), ("Tab 5%, x",), (None,)], "s string")
